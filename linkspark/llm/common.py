@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkspark.operators.skew import join_unique  # noqa: F401
+from linkspark.sources.storage import materialize, scratch, scratch_path  # noqa: F401
+
 #: Texts are handed to numpy in slices of about this many bytes, whatever Arrow's batch size.
 SLICE_BYTES = 4 << 20
 
@@ -20,29 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="linkspark-")
-        spark.conf.set("spark.checkpoint.dir", root) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-        spark.sparkContext.setCheckpointDir(root)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fold_ascii(text):
     """Lower-cases A-Z only."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -152,21 +130,3 @@ def word_spans(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     last[edges - 1] |= inside[edges - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     return starts, ends, np.searchsorted(starts, offsets)
-
-
-def join_unique(left: DataFrame, right: DataFrame, key: str, share: int = 512) -> DataFrame:
-    """Left join to a side with one row per key, safe for keys that hold much of the left.
-
-    A key on more than 1/share of the left's rows is hot; there are fewer than `share` of them, so
-    their right rows are broadcast, and the left rows that have them are dealt out by a row hash.
-    """
-    values = [c for c in right.columns if c != key]
-    counts = left.groupBy(key).agg(F.count("*").alias("__n"))
-    least = left.count() // share + 1000
-    hot = counts.filter((F.col("__n") >= least) & F.col(key).isNotNull()).select(key)
-    hot_rows = right.join(F.broadcast(hot), key, "left_semi").select(F.col(key).alias("__hot"), *[F.col(c).alias(f"__hot_{c}") for c in values])
-    marked = left.join(F.broadcast(hot_rows), F.col(key) == F.col("__hot"), "left")
-    marked = marked.withColumn("__salt", F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(65536))).otherwise(F.lit(-1)))
-    side = right.select(F.col(key).alias("__key"), F.lit(-1).cast("long").alias("__key_salt"), *[F.col(c).alias(f"__cold_{c}") for c in values])
-    out = marked.join(side, (F.col(key) == F.col("__key")) & (F.col("__salt") == F.col("__key_salt")), "left")
-    return out.select(*left.columns, *[F.when(F.col("__hot").isNotNull(), F.col(f"__hot_{c}")).otherwise(F.col(f"__cold_{c}")).alias(c) for c in values])

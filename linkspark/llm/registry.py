@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from linkspark.llm import language, mixing, quality, warc
+from linkspark.llm import chunks, decontaminate, jaccard, language, mixing, quality, warc
 
-MODULES = [quality, mixing, warc, language]
+MODULES = [quality, decontaminate, mixing, chunks, warc, jaccard, language]
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
