@@ -109,12 +109,12 @@ def _fit_bits(x: np.ndarray, y: np.ndarray, rounds: int = 300, l2: float = 1e-4)
 
 
 def fit(labelled: DataFrame, *, max_per_language: int = MAX_PER_LANGUAGE) -> Model:
-    """labelled: text, lang and an order column `h` (a hash of the id)."""
+    """labelled: doc_id, text, lang. Ids are ranked without their texts; the few taken ones are broadcast."""
     labelled = labelled.filter("text is not null and lang is not null and text rlike '\\\\p{L}'")
-    counts = labelled.groupBy("lang").count()
-    near = labelled.join(counts, "lang").filter(F.col("h") < 2.0 * max_per_language / F.col("count") * (1 << 31))
-    w = Window.partitionBy("lang").orderBy("h", F.xxhash64("text"))
-    sample = near.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= max_per_language).select("lang", "text")
+    w = Window.partitionBy("lang").orderBy("h", "doc_id")
+    ranked = labelled.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("n", F.row_number().over(w))
+    taken = ranked.filter(F.col("n") <= max_per_language).select(F.col("lang").alias("l"), F.col("doc_id").alias("i")).distinct()
+    sample = labelled.join(F.broadcast(taken), (F.col("lang") == F.col("l")) & F.col("doc_id").eqNullSafe(F.col("i")), "left_semi").select("lang", "text")
     rows = sample.mapInArrow(_featurize, "lang string, x binary").collect()  # max_per_language vectors a language
     rows.sort(key=lambda r: (r.lang, bytes(r.x)))
     languages = sorted({r.lang for r in rows})
@@ -168,7 +168,7 @@ def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:
 def identify_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, fold: int = 2, max_per_language: int = MAX_PER_LANGUAGE, min_gap: float = MIN_GAP) -> DataFrame:
     """One row per document (SCHEMA). Learns from the rows outside of the held-out fold that have a language."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col, folds, fold).alias("held_out"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    known = rows.filter("not held_out").select("text", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)).alias("h"))
+    known = rows.filter("not held_out").select("doc_id", "text", "lang")
     model = docs.sparkSession.sparkContext.broadcast(fit(known, max_per_language=max_per_language))
     return rows.select("doc_id", "held_out", "text").mapInArrow(lambda it: _predict(it, model, min_gap), SCHEMA)
 
