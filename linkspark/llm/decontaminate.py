@@ -110,6 +110,12 @@ def mark_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_i
     return out.select(*keep, F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array()).alias("items"), F.coalesce("score", F.lit(0)).cast("long").alias("score"))
 
 
+def contaminated_keys(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """(i, t): id and text hash of the documents with a verified overlap."""
+    rows = docs.select(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("body"))
+    return find_overlaps(rows, items, key=["i", "t"], text_col="body", **kw).select("i", "t").distinct()
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 

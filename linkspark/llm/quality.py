@@ -154,6 +154,19 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id"
     return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(lambda it: _score(it, id_col, text_col, weights, min_llr, min_words), SCHEMA)
 
 
+def _filter(batches: Iterator[pa.RecordBatch], id_col: str, text_col: str, *rest) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for rows, _ in common.slices(batch, text_col):
+            kept = pa.concat_arrays([x.column("kept") for x in _score(iter([rows]), id_col, text_col, *rest)])
+            yield rows.filter(kept)
+
+
+def filter_documents(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_llr: float = MIN_LLR, min_words: int = MIN_WORDS, max_trusted: int = MAX_TRUSTED) -> DataFrame:
+    """The documents that the rules keep, with all their columns; decided where the row stands, without a join."""
+    weights = docs.sparkSession.sparkContext.broadcast(fit(docs, trusted, id_col=id_col, text_col=text_col, max_trusted=max_trusted))
+    return docs.mapInArrow(lambda it: _filter(it, id_col, text_col, weights, min_llr, min_words), docs.schema)
+
+
 def trusted_ids(labels: DataFrame) -> DataFrame:
     """Documents labelled good and not toxic."""
     return labels.filter("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id")
