@@ -56,32 +56,22 @@ def correlation_clustering():
     def cluster(pairs: DataFrame, n: int, threshold: float | None = 0.0, sense: str = "maximize") -> DataFrame:
         edges = _checked(passing(pairs, threshold, sense), n).filter("i <> j")
         both = materialize(edges.select("i", "j").unionAll(edges.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct(), "edges")
-        live, pivots = both, None
-        while not live.isEmpty():
-            new = materialize(live.groupBy("i").agg(F.min("j").alias("lo")).filter("i < lo").select(F.col("i").alias("p")), "pivots")
+        open_items, pivots = materialize(both.select("i").distinct(), "open"), None
+        while not open_items.isEmpty():
+            live = both.join(open_items, "i", "left_semi").join(open_items.select(F.col("i").alias("j")), "j", "left_semi")
+            new = open_items.join(live.groupBy("i").agg(F.min("j").alias("lo")), "i", "left").filter("lo is null or i < lo").select(F.col("i").alias("p"))
+            new = materialize(new, "pivots")
             pivots = new if pivots is None else pivots.unionAll(new)
-            gone = new.unionAll(live.join(new, live.j == new.p).select(F.col("i").alias("p"))).distinct()
-            live = live.join(gone, live.i == gone.p, "left_anti").join(gone, F.col("j") == gone.p, "left_anti")
-            # an open item may have lost all its open neighbours: it is a pivot itself
-            opened = both.select("i").distinct().join(gone, F.col("i") == gone.p, "left_anti")
-            live = materialize(live, "edges")
-            state = opened.join(live.select("i").distinct(), "i", "left_anti")
-            pivots = pivots.unionAll(_lonely(state, both, pivots))
-            pivots = materialize(pivots.distinct(), "pivots")
+            beside = both.join(new, F.col("j") == F.col("p")).select("i")
+            open_items = materialize(open_items.join(new.select(F.col("p").alias("i")).unionAll(beside).distinct(), "i", "left_anti"), "open")
         if pivots is None:
             return _labels(both.select(F.col("i").alias("item"), F.col("j").alias("head")), n)
-        joined = both.join(pivots, both.j == pivots.p).join(pivots.select(F.col("p").alias("q")), F.col("i") == F.col("q"), "left_anti").groupBy("i").agg(F.min("p").alias("head"))
+        joined = both.join(pivots, F.col("j") == F.col("p")).join(pivots.select(F.col("p").alias("i")), "i", "left_anti").groupBy("i").agg(F.min("p").alias("head"))
         return _labels(joined.select(F.col("i").alias("item"), "head"), n)
 
     return cluster
 
 
-def _lonely(items: DataFrame, both: DataFrame, pivots: DataFrame) -> DataFrame:
-    """Of the items (i), those that are neither pivots nor next to one."""
-    near = both.join(pivots, both.j == pivots.p).select("i").unionAll(pivots.select(F.col("p").alias("i")))
-    return items.join(near.distinct(), "i", "left_anti").select(F.col("i").alias("p"))
-
-
 def groups(partition: DataFrame) -> DataFrame:
     return partition.groupBy("cluster_id").agg(F.sort_array(F.collect_list("item")).alias("items"))
 
