@@ -119,9 +119,14 @@ def dot_product(u: Column, v: Column) -> Column:
     return _sum(F.zip_with(u, v, lambda x, y: x.cast("double") * y.cast("double")))
 
 
-def _scaled(u: Column) -> Column:
-    top = F.coalesce(F.array_max(F.transform(u, lambda x: F.abs(x.cast("double")))), F.lit(0.0))
-    return F.transform(u, lambda x: x.cast("double") / F.when(top == 0, 1.0).otherwise(top))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _top(u: Column) -> Column:
+    top = F.array_max(F.transform(u, lambda x: F.abs(x.cast("double"))))
+    return F.when(F.coalesce(top, F.lit(0.0)) == 0, 1.0).otherwise(top)
 
 
 @comparators.add("cosine")
@@ -129,9 +134,14 @@ def cosine() -> Comparator:
     """Scaled by the largest component first, so huge vectors don't overflow; 0 with a zero vector."""
 
     def score(u: Column, v: Column) -> Column:
-        a, b = _scaled(u), _scaled(v)
-        norm = F.sqrt(_sum(F.transform(a, lambda x: x * x))) * F.sqrt(_sum(F.transform(b, lambda x: x * x)))
-        return _checked(u, v, F.when(norm == 0, 0.0).otherwise(_sum(F.zip_with(a, b, lambda x, y: x * y)) / norm))
+        def norm(w: Column, s: Column) -> Column:
+            return F.sqrt(F.aggregate(w, F.lit(0.0), lambda acc, x: acc + (x.cast("double") / s) * (x.cast("double") / s)))
+
+        def scaled(su: Column, sv: Column) -> Column:
+            both = _sum(F.zip_with(u, v, lambda x, y: (x.cast("double") / su) * (y.cast("double") / sv)))
+            return _let(norm(u, su) * norm(v, sv), lambda n: F.when(n == 0, 0.0).otherwise(both / n))
+
+        return _checked(u, v, _let(_top(u), lambda su: _let(_top(v), lambda sv: scaled(su, sv))))
 
     return score
 
@@ -149,8 +159,7 @@ def angular() -> Comparator:
 
 def l2_normalize(u: Column) -> Column:
     """The vector at length 1; a zero vector unchanged."""
-    n = F.sqrt(dot_product(u, u))
-    return F.transform(u, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n))
+    return _let(F.sqrt(dot_product(u, u)), lambda n: F.transform(u, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n)))
 
 
 def _positive(name: str, value: float) -> float:

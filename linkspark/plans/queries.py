@@ -299,8 +299,8 @@ def parts_by_name(s, d):
 K3 = "WITH p AS (SELECT p_name AS cluster_id, p_partkey AS item, p_brand AS brand, CASE WHEN p_size % 3 > 0 THEN p_size END AS size FROM part) "
 query("k3_first", K3 + "SELECT cluster_id, brand, size FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY item) AS k FROM p) WHERE k = 1")(lambda s, d: clustering.canonicalize(*parts_by_name(s, d), "first"))
 query("k3_most_complete", K3 + "SELECT cluster_id, brand, size FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY CAST(brand IS NOT NULL AS INT) + CAST(size IS NOT NULL AS INT) DESC, item) AS k FROM p) WHERE k = 1")(lambda s, d: clustering.canonicalize(*parts_by_name(s, d), "most_complete"))
-query("k3_majority", K3 + """, b AS (SELECT cluster_id, brand, row_number() OVER (PARTITION BY cluster_id ORDER BY count(*) DESC, min(item)) AS k FROM p WHERE brand IS NOT NULL GROUP BY ALL),
-z AS (SELECT cluster_id, size, row_number() OVER (PARTITION BY cluster_id ORDER BY count(*) DESC, min(item)) AS k FROM p WHERE size IS NOT NULL GROUP BY ALL)
+query("k3_majority", K3 + """, b AS (SELECT cluster_id, brand, row_number() OVER (PARTITION BY cluster_id ORDER BY count(*) DESC, min(item)) AS k FROM p WHERE brand IS NOT NULL GROUP BY cluster_id, brand),
+z AS (SELECT cluster_id, size, row_number() OVER (PARTITION BY cluster_id ORDER BY count(*) DESC, min(item)) AS k FROM p WHERE size IS NOT NULL GROUP BY cluster_id, size)
 SELECT c.cluster_id, brand, size FROM (SELECT DISTINCT cluster_id FROM p) c LEFT JOIN b ON b.cluster_id = c.cluster_id AND b.k = 1 LEFT JOIN z ON z.cluster_id = c.cluster_id AND z.k = 1""")(lambda s, d: clustering.canonicalize(*parts_by_name(s, d), "majority"))
 query("k4_classify", "SELECT c_custkey, CASE WHEN c_acctbal >= 5000 THEN 'match' WHEN c_acctbal <= 0 THEN 'non_match' ELSE 'possible_match' END AS decision FROM customer")(lambda s, d: table(s, d, "customer").select("c_custkey", clustering.classify(F.col("c_acctbal"), 0.0, 5000.0).alias("decision")))
 
