@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from linkspark.llm import common
 
-#: Bytes. A boundary falls on one position in MEAN after the first MIN bytes.
-MIN, MEAN, MAX = 32, 64, 1024
+#: Bytes. A boundary falls on one position in MEAN after the first MIN bytes, so a chunk has about MIN + MEAN.
+#: 16 finds the most of passages of 50 words (330 bytes): above it the cut ends lose more, below it chunks fall into step too late.
+MIN, MEAN, MAX = 32, 16, 1024
 
 #: A byte's gear value comes from a rule, not a table: a mixed 64-bit number's top half.
 GEAR = (common.mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
