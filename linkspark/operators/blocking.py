@@ -5,8 +5,11 @@ b=None is a self-join: pairs with i < j.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,9 @@ from linkspark.functions.similarity import comparators
 
 blockers = Registry("blocker")
 
+#: MinHash permutes hashes modulo this.
+PRIME = (1 << 31) - 1
+
 
 def _sides(a: DataFrame, b: DataFrame | None, *extra: Column) -> tuple[DataFrame, DataFrame, bool]:
     alone = b is None
@@ -163,22 +169,22 @@ def lsh_bands(threshold: float, num_perm: int) -> tuple[int, int]:
 
 
 @blockers.add("minhash_lsh")
-def minhash_lsh_blocking(threshold: float = 0.5, num_perm: int = 64, seed: int = 11):
+def minhash_lsh_blocking(threshold: float = 0.5, num_perm: int = 128, seed: int = 11):
     """Pairs whose MinHash signatures agree in a band. Sets: distinct words, split at blanks."""
     import random
 
     bands, rows = lsh_bands(threshold, num_perm)
-    rng, prime = random.Random(seed), (1 << 31) - 1
-    coefficients = [(rng.randrange(1, prime), rng.randrange(prime)) for _ in range(bands * rows)]
+    rng = random.Random(seed)
+    coefficients = [(rng.randrange(1, PRIME), rng.randrange(PRIME)) for _ in range(bands * rows)]
 
     def block(a: DataFrame, b: DataFrame | None = None) -> DataFrame:
         def banded(df: DataFrame, n: str) -> DataFrame:
             words = F.array_distinct(F.filter(F.split("item", r"\s+"), lambda w: w != ""))
-            hashed = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(prime)))
-            df = df.select(F.col("id").alias(n), hashed.alias("h")).filter(F.size("h") > 0)
-            sig = [F.array_min(_permuted(p, q, prime)) for p, q in coefficients]
-            each = F.array(*[F.xxhash64(F.lit(k), *sig[k * rows : (k + 1) * rows]) for k in range(bands)])
-            return df.select(n, F.explode(each).alias("band"))
+            hashed = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(PRIME)))
+            kind = df.schema["id"].dataType.simpleString()
+            sig = df.select(F.col("id").alias(n), hashed.alias("h")).mapInArrow(lambda it: _signatures(it, coefficients), f"{n} {kind}, sig array<long>")
+            each = F.array(*[F.xxhash64(F.lit(k), *[F.col("sig")[x] for x in range(k * rows, (k + 1) * rows)]) for k in range(bands)])
+            return sig.select(n, F.explode(each).alias("band"))
 
         left, right = banded(a, "i"), banded(a if b is None else b, "j")
         pairs = left.join(right, "band").select("i", "j")
@@ -187,8 +193,27 @@ def minhash_lsh_blocking(threshold: float = 0.5, num_perm: int = 64, seed: int =
     return block
 
 
-def _permuted(p: int, q: int, prime: int) -> Column:
-    return F.transform("h", lambda h: (h * p + q) % prime)
+def _signatures(batches: Iterator[pa.RecordBatch], coefficients: list[tuple[int, int]], most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Least (p h + q) mod PRIME of each row's hashes, for every (p, q). Rows without hashes are left out; about `most` hashes are held at once."""
+    for batch in batches:
+        batch = batch.filter(pc.fill_null(pc.greater(pc.list_value_length(batch.column(1)), 0), False))
+        if not batch.num_rows:
+            continue
+        lists = batch.column(1)
+        values, sizes = lists.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        offsets, sig, first = np.concatenate([[0], np.cumsum(sizes)]), np.empty((len(sizes), len(coefficients)), np.int64), 0
+        while first < len(sizes):
+            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1)
+            h, at = values[offsets[first] : offsets[last]], offsets[first:last] - offsets[first]
+            for k, (p, q) in enumerate(coefficients):
+                x = h * p + q
+                for _ in range(2):  # 2^31 is 1 modulo PRIME
+                    x = (x & PRIME) + (x >> 31)
+                x[x == PRIME] = 0
+                sig[first:last, k] = np.minimum.reduceat(x, at)
+            first = last
+        ends = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * np.int32(len(coefficients)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(sig.ravel()))], [batch.schema.names[0], "sig"])
 
 
 # pairs as a bag

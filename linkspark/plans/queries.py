@@ -216,7 +216,7 @@ query("b9_brute_knn", f"WITH {VV}, s AS (SELECT a.id AS i, b.id AS j, row_number
     lambda s, d: blocking.brute_knn_blocking(5)(vectors(s, d))
 )
 query("b10_ann")(lambda s, d: blocking.ann_blocking(5)(vectors(s, d)))
-query("b11_minhash_lsh")(lambda s, d: blocking.minhash_lsh_blocking(0.5, 32)(table(s, d, "documents").filter("text is not null").select(F.col("doc_id").alias("id"), F.col("text").alias("item"))))
+query("b11_minhash_lsh")(lambda s, d: blocking.minhash_lsh_blocking(0.5, 128)(table(s, d, "documents").filter("text is not null").select(F.col("doc_id").alias("id"), F.col("text").alias("item"))))
 FIRST = f"{N}, c AS (SELECT a.id AS i, b.id AS j FROM n a JOIN n b ON a.id < b.id AND a.item[1:1] = b.item[1:1])"
 query("b13_prune_frequent", f"WITH {FIRST}, g AS (SELECT x FROM (SELECT i AS x FROM c UNION ALL SELECT j FROM c) GROUP BY x HAVING count(*) > 2) SELECT i, j FROM c WHERE i NOT IN (SELECT x FROM g) AND j NOT IN (SELECT x FROM g)")(
     lambda s, d: blocking.prune_frequent(blocking.first_chars_blocker()(nations(s, d)), 2, self_join=True)
