@@ -18,24 +18,20 @@ def _key(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__th", F.xxhash64("text"))
 
 
-def _only(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of docs whose id and text hash (i, t) are among keys."""
-    marked = _key(docs)
-    return marked.join(keys, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("__th") == F.col("t")), "left_semi").drop("__th")
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the quality rules reject."""
     return quality.filter_documents(docs, quality.trusted_ids(common.table(spark, sf_dir, "labels")))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component (the smallest id, once) and everything without shingles."""
+    """Keeps one document of each component (the smallest id, once) and every row without shingles, repeated or not."""
     found = jaccard.jaccard_components(docs)
     alone = found.filter("set_id is null").select(F.col("doc_id").alias("i"), F.col("th").alias("t"))
     first = found.filter("set_id is not null").groupBy("group_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("one"))
-    kept = _only(docs, alone.unionAll(first.select("one.doc_id", "one.th").toDF("i", "t")))
-    return kept.dropDuplicates(["doc_id", "text"])
+    keys = alone.withColumn("__one", F.lit(False)).unionAll(first.select("one.doc_id", "one.th", F.lit(True))).distinct()
+    marked = _key(docs).join(keys, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("__th") == F.col("t"))).drop("i", "t", "__th")
+    marked = common.materialize(marked, "kept")
+    return marked.filter("not __one").unionByName(marked.filter("__one").dropDuplicates(["doc_id", "text"])).drop("__one")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
