@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkspark.operators.skew import join_unique
-from linkspark.sources.storage import materialize
+from linkspark.sources.storage import discard, materialize
 
 #: Edge frames above this many rows are joined with hot nodes salted.
 _MANY = 1_000_000
@@ -75,7 +75,8 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
     settled = n == 0
     if n and dict(e.dtypes)["u"] == "bigint":
         runs = n // _CHUNK + 1
-        e = materialize(e.coalesce(runs).mapInArrow(_contract, "u long, v long").distinct(), "edges")
+        before, e = e, materialize(e.coalesce(runs).mapInArrow(_contract, "u long, v long").distinct(), "edges")
+        discard(before)
         n, settled = e.count(), runs == 1
     many = n > _MANY
     for _ in range(max_rounds):
@@ -85,7 +86,8 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
         large = _star(both, many).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = _star(large, many)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        e = materialize(small, "edges")
+        before, e = e, materialize(small, "edges")
+        discard(before)
         seen = tuple(e.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
         if seen == state:
             break
