@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkspark.operators.skew import join_unique  # noqa: F401
-from linkspark.sources.storage import materialize, scratch, scratch_path  # noqa: F401
+from linkspark.sources.storage import discard, materialize, scratch, scratch_path  # noqa: F401
 
 #: Texts are handed to numpy in slices of about this many bytes, whatever Arrow's batch size.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -130,3 +131,44 @@ def word_spans(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     last[edges - 1] |= inside[edges - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     return starts, ends, np.searchsorted(starts, offsets)
+
+
+#: Bits of a filter, and how many of them travel in one row.
+FILTER_BITS = 1 << 26
+_PACK_BITS = 1 << 17
+
+
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Filter bits of the hashes in column h, in packs."""
+    marked, pack = np.zeros(FILTER_BITS // 8, np.uint8), _PACK_BITS // 8
+    for batch in batches:
+        at = batch.column("h").to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(FILTER_BITS - 1)
+        np.bitwise_or.at(marked, at >> np.uint64(3), np.uint8(128) >> (at & np.uint64(7)).astype(np.uint8))
+    packs = [(k, x) for k in range(len(marked) // pack) if (x := marked[k * pack : (k + 1) * pack]).any()]
+    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in packs], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for _, x in packs], pa.binary())], ["pack", "bits"])
+
+
+def _any_bit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The packs of a filter, one of each number."""
+    packs: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, x in zip(batch.column("pack").to_pylist(), batch.column("bits"), strict=True):
+            part = np.frombuffer(zlib.decompress(x.as_py()), np.uint8)
+            packs[k] = packs[k] | part if k in packs else part
+    yield pa.RecordBatch.from_arrays([pa.array(list(packs), pa.int32()), pa.array([x.tobytes() for x in packs.values()], pa.binary())], ["pack", "bits"])
+
+
+def bit_filter(hashes: DataFrame):
+    """A broadcast filter (FILTER_BITS bits, whatever the input) that lets every hash in column h (long) pass, and few others
+    as long as there are far fewer hashes than bits."""
+    packs = hashes.mapInArrow(_mark, "pack int, bits binary").repartition("pack").mapInArrow(_any_bit, "pack int, bits binary")
+    marked = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in packs.toLocalIterator():
+        marked[r.pack * _PACK_BITS // 8 : (r.pack + 1) * _PACK_BITS // 8] = np.frombuffer(r.bits, np.uint8)
+    return hashes.sparkSession.sparkContext.broadcast(marked)
+
+
+def passing(column: pa.Array, shared) -> np.ndarray:
+    """Which hashes (long) the filter lets pass."""
+    at = column.to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(FILTER_BITS - 1)
+    return (shared.value[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8) & 1).astype(bool)

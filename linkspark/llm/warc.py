@@ -1,16 +1,19 @@
 """WARC records in ZIP archives: writing, and range reads by way of the central directory.
 
 Each task writes archives of its own under the shared folder: stored (uncompressed) members
-`records-N.warc` of concatenated WARC/1.1 records, each followed by `records-N.idx` with one line
-"offset length" per record. Sizes and offsets stand in ZIP64 fields. The manifest, a table of
+`records-N.warc` of a warcinfo record and concatenated WARC/1.1 records, each followed by `records-N.idx`
+with one line "offset length" per page's record. Sizes and offsets stand in ZIP64 fields. The manifest, a table of
 archive paths, is written by Spark; archives of lost attempts are not in it. Reading finds the end
 record, the ZIP64 directory and the members, then fetches single records by byte range.
 
 A page whose payload (at least `min_bytes` long) also stands on a page with a larger id is written as a
-revisit that names the largest such id; the payload itself is stored once. With `min_bytes` above 0,
+revisit that names the largest such id; the payload itself is stored once. Pages whose payload stands on no other
+page are written where they are read: a filter of fixed size, made from the digests that several pages have,
+tells them; of the others only the one html of each payload that is kept is shuffled. With `min_bytes` above 0,
 shorter payloads are all responses. A null html is an empty payload. Pages with the same id and
 payload are all responses, or all revisits, alike; pages with a null id are
-responses unless another page has their payload, and are referred to only by pages without an id. An empty
+responses unless another page has their payload, and are referred to only by pages without an id. A record's id
+is made from its page's id and digest, so only rows that repeat both repeat it. An empty
 table gives an empty result. Other columns than id, url and html are not looked at.
 """
 
@@ -22,9 +25,11 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 from typing import BinaryIO
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,14 +133,28 @@ def digest32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    """One WARC/1.1 record. A revisit has no block; its headers carry the payload's digest and length."""
-    clean = "".join(x for x in url if x >= " ").encode()
-    lines = [b"WARC/1.1", b"WARC-Type: " + (b"revisit" if revisit else b"response"), b"WARC-Record-ID: <urn:page:%s>" % str(page_id).encode(), b"WARC-Target-URI: " + clean, b"WARC-Payload-Digest: sha1:" + digest32(payload).encode(), b"WARC-Payload-Length: %d" % len(payload)]
+def _block(lines: list[str], body: bytes) -> bytes:
+    head = "".join(f"{x}\r\n" for x in ["WARC/1.1", *lines, f"Content-Length: {len(body)}"])
+    return head.encode() + b"\r\n" + body + b"\r\n\r\n"
+
+
+def _urn(page_id: int | None, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id}/{digest}')}>"
+
+
+def info(name: str, date: str) -> bytes:
+    """The warcinfo record that a member begins with."""
+    body = b"format: WARC File Format 1.1\r\n"
+    return _block(["WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {date}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields"], body)
+
+
+def record(page_id: int | None, url: str, payload: bytes, digest: str, size: int, refers_to: int | None, revisit: bool, date: str) -> bytes:
+    """One WARC/1.1 record: a response with its HTTP head, or a revisit, which has no block but the payload's digest and length."""
+    clean = "".join(x for x in url if x > " ")
+    lines = [f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_urn(page_id, digest)}", f"WARC-Date: {date}", f"WARC-Target-URI: {clean}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http;msgtype=response", f"Page-ID: {page_id}", f"Payload-Length: {size}"]
     if revisit:
-        lines += [b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", b"WARC-Refers-To: <urn:page:%s>" % str(refers_to).encode()]
-        payload = b""
-    return b"\r\n".join([*lines, b"Content-Length: %d" % len(payload), b"", payload, b"", b""])
+        return _block([*lines, "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_urn(refers_to, digest)}", f"Refers-To-Page-ID: {refers_to}"], b"")
+    return _block(lines, b"HTTP/1.1 200 OK\r\nContent-Type: text/html;charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size + payload)
 
 
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
@@ -147,7 +166,7 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[:size]
 
 
-def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+def _write(batches: Iterator[pa.RecordBatch], folder: str, date: str) -> Iterator[pa.RecordBatch]:
     archive = out = path = None
     block, index, member, records = bytearray(), [], 0, 0
 
@@ -169,12 +188,14 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
 
     for batch in batches:
         for rows, texts in common.slices(batch, "html"):
-            for page, url, to, html in zip(rows.column("page_id").to_pylist(), rows.column("url").to_pylist(), rows.column("response").to_pylist(), texts, strict=True):
+            for page, url, sha, size, to, revisit, html in zip(*[rows.column(c).to_pylist() for c in ("page_id", "url", "digest", "n", "latest", "revisit")], texts, strict=True):
                 if archive is None:
                     path = f"{folder}/{uuid.uuid4().hex}.zip"
                     out = open_shared(path, "wb")
                     archive = ZipWriter(out)
-                data = record(page, url or "", html.as_py(), to["page_id"], to["revisit"])
+                if not block:
+                    block += info(f"records-{member}.warc", date)
+                data = record(page, url or "", html.as_py(), base64.b32encode(bytes.fromhex(sha)).decode(), size, to, revisit, date)
                 index.append((len(block), len(data)))
                 block += data
                 records += 1
@@ -186,19 +207,45 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
         yield finish()
 
 
-def write_archives(pages: DataFrame, folder: str, *, min_bytes: int = 0) -> DataFrame:
-    """Writes the archives under folder (shared by all executors); returns the manifest."""
+def _alone(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """Pages whose payload no other page has, as responses."""
+    for batch in batches:
+        own = batch.filter(pa.array(~common.passing(batch.column("h"), shared)))
+        yield pa.RecordBatch.from_arrays([*[own.column(c) for c in ("page_id", "url", "html", "digest", "n")], pa.nulls(own.num_rows, pa.int64()), pa.array([False] * own.num_rows, pa.bool_())], ["page_id", "url", "html", "digest", "n", "latest", "revisit"])
+
+
+def _copies(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """The other pages; html is null where it is certain that it stands in another page's response."""
+    for batch in batches:
+        own = batch.filter(pa.array(common.passing(batch.column("h"), shared)))
+        kept = pa.array(common.passing(own.column("k"), shared))
+        html = pc.if_else(kept, own.column("html"), pa.scalar(None, own.column("html").type))
+        yield pa.RecordBatch.from_arrays([own.column("page_id"), own.column("url"), html, own.column("digest"), own.column("n")], ["page_id", "url", "html", "digest", "n"])
+
+
+def write_archives(pages: DataFrame, folder: str, *, min_bytes: int = 0, date: str | None = None) -> DataFrame:
+    """Writes the archives under folder (shared by all executors); returns the manifest. date: of the records, now by default."""
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("html"))
-    rows = rows.withColumn("digest", F.sha1("html"))
-    latest = rows.filter(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("latest"), F.lit(True).alias("long_enough"))
-    marked = common.join_unique(rows, latest, "digest")
-    revisit = F.coalesce(F.col("long_enough") & ~F.col("page_id").eqNullSafe(F.col("latest")), F.lit(False))
-    marked = marked.select("page_id", "url", "html", F.struct(F.col("latest").alias("page_id"), revisit.alias("revisit")).alias("response"))
+    rows = rows.withColumn("digest", F.sha1("html")).withColumn("n", F.octet_length("html").cast("long"))
+    copied = rows.filter(F.col("n") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("latest"), F.count("*").alias("copies"), F.lit(True).alias("found")).filter("copies > 1")
+    copied = common.materialize(copied, "copied")
+    named, kept = F.xxhash64("digest"), lambda page: F.xxhash64(F.lit("kept"), "digest", F.coalesce(F.col(page).cast("string"), F.lit("")))
+    shared = common.bit_filter(copied.select(F.explode(F.array(named, kept("latest"))).alias("h")))
+    rows = rows.withColumn("h", named).withColumn("k", kept("page_id"))
     if folder.startswith("file:") or "://" not in folder:
         import os
 
         os.makedirs("/" + folder.removeprefix("file:").lstrip("/"), exist_ok=True)
-    return common.materialize(marked.mapInArrow(lambda it: _write(it, folder), "archive string, n_records long"), "manifest")
+    copies = rows.mapInArrow(lambda it: _copies(it, shared), "page_id long, url string, html binary, digest string, n long")
+    copies = common.join_unique(copies, copied, "digest", weight="copies")
+    copies = copies.select("page_id", "url", "html", "digest", "n", "latest", F.coalesce(F.col("found") & ~F.col("page_id").eqNullSafe(F.col("latest")), F.lit(False)).alias("revisit"))
+    manifest = "archive string, n_records long"
+    alone = rows.mapInArrow(lambda it: _write(_alone(it, shared), folder, date), manifest)
+    out = common.materialize(alone.unionAll(copies.mapInArrow(lambda it: _write(it, folder, date), manifest)), "manifest")
+    shared.destroy()
+    common.discard(copied)
+    return out
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,8 +260,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), pa.array([base + a for a, _ in rows], pa.int64()), pa.array([n for _, n in rows], pa.int64())], ["archive", "at", "size"])
 
 
-def _page(name: str) -> int | None:
-    text = name.removeprefix("<urn:page:").removesuffix(">")
+def _page(text: str) -> int | None:
     return None if text == "None" else int(text)
 
 
@@ -234,11 +280,12 @@ def _fetch(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.Rec
                     f.close()
                 opened, f = path, open_shared(path, "rb")
             fields, block = parse_record(read_at(f, at, size))
-            kind, digest, n = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:"), int(fields["WARC-Payload-Length"])
+            kind, digest, n = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:"), int(fields["Payload-Length"])
             if kind == "response":
+                block = block.partition(b"\r\n\r\n")[2]
                 if digest32(block) != digest or len(block) != n:
                     raise ValueError(f"{path}: payload at {at} doesn't match its digest")
-            values = [_page(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], n, digest, kind, _page(fields["WARC-Refers-To"]) if kind == "revisit" else None, block if payloads and kind == "response" else None]
+            values = [_page(fields["Page-ID"]), fields["WARC-Target-URI"], n, digest, kind, _page(fields["Refers-To-Page-ID"]) if kind == "revisit" else None, block if payloads and kind == "response" else None]
             for column, value in zip(out, values, strict=True):
                 column.append(value)
             held += len(block) if payloads else 0
