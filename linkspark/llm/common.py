@@ -162,13 +162,16 @@ def bit_filter(hashes: DataFrame):
     """A broadcast filter (FILTER_BITS bits, whatever the input) that lets every hash in column h (long) pass, and few others
     as long as there are far fewer hashes than bits."""
     packs = hashes.mapInArrow(_mark, "pack int, bits binary").repartition("pack").mapInArrow(_any_bit, "pack int, bits binary")
+    packs = materialize(packs, "filter")
     marked = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in packs.toLocalIterator():
+    for r in packs.toLocalIterator():  # FILTER_BITS / 8 bytes, whatever the input
         marked[r.pack * _PACK_BITS // 8 : (r.pack + 1) * _PACK_BITS // 8] = np.frombuffer(r.bits, np.uint8)
+    discard(packs)
     return hashes.sparkSession.sparkContext.broadcast(marked)
 
 
-def passing(column: pa.Array, shared) -> np.ndarray:
-    """Which hashes (long) the filter lets pass."""
-    at = column.to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(FILTER_BITS - 1)
+def passing(column: pa.Array | np.ndarray, shared) -> np.ndarray:
+    """Which hashes (64 bits) the filter lets pass."""
+    values = column if isinstance(column, np.ndarray) else column.to_numpy(zero_copy_only=False)
+    at = values.view(np.uint64) & np.uint64(FILTER_BITS - 1)
     return (shared.value[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8) & 1).astype(bool)

@@ -1,25 +1,29 @@
 """Exact substring deduplication with suffix arrays built by induced sorting.
 
 Every LENGTH-byte string has an anchor: the leftmost smallest hash among its GRAM-byte grams, which depends
-on its bytes alone. Equal strings have equal anchors, so strings are dealt to shards by anchor: for each anchor
-that several texts have, the bytes of all strings that it stands for travel as one context. A shard's
+on its bytes alone. Equal strings have equal anchors, so strings are dealt to shards by anchor: the bytes of all
+strings of a text that one anchor stands for are a context. Contexts are first compared as wholes, by digest: a text
+whose context also stands in a text with a smaller id loses all of it, and only one context of each kind, from
+the smallest id, goes on, and only where an anchor has several kinds. A shard's
 distinct contexts are concatenated; suffixes are classified, the leftmost-smaller (LMS) substrings
-sorted by induction and named, the reduced string ordered, and the array induced from it bucket
-by bucket (vectorised, linear in the shard). Permuted common prefixes are computed at the irreducible
+sorted by induction and named, the string of their names sorted in the same way, recursively, and the array induced
+from it (vectorised, linear in the shard). Permuted common prefixes are computed at the irreducible
 places and carried on elsewhere; runs of suffixes that share LENGTH bytes give the smallest document id
 of each string, and a string that a smaller id has is cut from the others, all of it.
 
-Texts that several rows have are represented by the smallest id; the others are covered throughout.
+Anchors with more than HOT kinds of contexts (the edges of a passage that many texts have) are dealt string by string
+instead. Which anchors, contexts and texts matter is told by filters of fixed size; what these let pass
+needlessly costs time only. Texts that several rows have are represented by the smallest id; the others are
+covered throughout.
 
 Edge cases: null and empty texts have no bytes and nothing removed; texts under LENGTH bytes lose nothing.
 Rows with the same id never cut each other. A null id counts as the largest. Repeated rows get the same
 result. Cuts may fall inside a UTF-8 character; kept bytes are returned as binary. Other columns are not
-looked at. The reduced string is ordered by doubling of ranks instead of further levels of recursion.
+looked at. Texts are told apart by 128 bits of hashes, contexts by 64 bits besides those of their anchor.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +34,13 @@ from pyspark.sql import functions as F
 from linkspark.llm import common
 
 LENGTH = 50
-GRAM = 12
+GRAM = 24
 #: Bytes of distinct contexts that one suffix array is built over.
-SHARD_BYTES = 2 << 20
-_CHUNK = 1 << 23
+SHARD_BYTES = 1 << 19
+#: Kinds of contexts above which an anchor's strings are dealt one by one.
+HOT = 4096
+_CHUNK = 1 << 21
+_HOT_MARK = 0x5555555555555555
 _LAST = (1 << 63) - 1
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -52,79 +59,82 @@ def _types(t: np.ndarray) -> np.ndarray:
     return step[nearest] > 0
 
 
-def _split(items: np.ndarray, keys: np.ndarray, buckets: list[list[np.ndarray]]) -> None:
-    order = np.argsort(keys, kind="stable")
-    keys, items = keys[order], items[order]
-    cut = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-    for part, key in zip(np.split(items, cut), keys[np.concatenate([[0], cut])].tolist(), strict=True):
-        buckets[key].append(part)
+def _grouped(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A stable order by c, c in that order, and each item's number within its run."""
+    order = np.argsort(c, kind="stable")
+    c = c[order].astype(np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+    return order, c, np.arange(len(c)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(c)]])))
+
+
+def _moved(edge: np.ndarray, c: np.ndarray, by: int) -> None:
+    """Moves the buckets' edges by the numbers of items in c (ascending)."""
+    if len(c):
+        starts = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+        edge[c[starts]] += by * np.diff(np.concatenate([starts, [len(c)]]))
 
 
 def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
-    """All suffixes in order, given the LMS suffixes in (some) order."""
-    low: list[list[np.ndarray]] = [[] for _ in range(sigma)]
-    seeds: list[list[np.ndarray]] = [[] for _ in range(sigma)]
-    high: list[list[np.ndarray]] = [[] for _ in range(sigma)]
+    """All suffixes in order, given the LMS suffixes in (some) order.
+
+    The array is scanned in blocks. A block induces what stands before its suffixes; it ends where the first of
+    these falls, so that it never reads a place that it writes.
+    """
+    n = len(t)
+    size = np.bincount(t, minlength=sigma)
+    end = np.cumsum(size)
+    out = np.full(n, -1, np.int64)
     if len(lms):
-        _split(lms, t[lms], seeds)
-    last = np.array([len(t) - 1])
-    low[t[-1]].append(last)  # what stands before the empty suffix
-
-    def before(items: np.ndarray, kind: bool) -> np.ndarray:
-        p = items[items > 0] - 1
-        return p[small[p] == kind]
-
-    empty = np.empty(0, np.int64)
-    done_low: list[np.ndarray] = [empty] * sigma
-    for c in range(sigma):
-        parts, i = low[c], 0
-        while i < len(parts):  # a bucket grows while it is read, by runs of its own character
-            p = before(parts[i], False)
-            if len(p):
-                _split(p, t[p], low)
-            i += 1
-        done_low[c] = np.concatenate(parts) if parts else empty
-        for part in seeds[c]:
-            p = before(part, False)
-            if len(p):
-                _split(p, t[p], low)
-    out: list[np.ndarray] = []
-    for c in range(sigma - 1, -1, -1):
-        parts, i = high[c], 0
-        while i < len(parts):
-            p = before(parts[i], True)
-            if len(p):
-                _split(p, t[p], high)
-            i += 1
-        p = before(done_low[c][::-1], True)
+        order, c, nth = _grouped(t[lms])
+        out[end[c] - np.bincount(c, minlength=sigma)[c] + nth] = lms[order]
+    head = end - size
+    out[head[t[-1]]] = n - 1  # what stands before the empty suffix
+    head[t[-1]] += 1
+    i, step = 0, 1 << 12
+    while i < n:
+        j = min(n, i + step)
+        at = np.flatnonzero(out[i:j] > 0)
+        p = out[i + at] - 1
+        large = ~small[p]
+        at, p = at[large] + i, p[large]
+        step = min(2 * step, 1 << 16)
+        if len(p):
+            order, c, nth = _grouped(t[p])
+            to = head[c] + nth
+            if (first := int(to.min())) < j:
+                j, own = first, at[order] < first
+                order, c, to = order[own], c[own], to[own]
+                step = max(256, 2 * (j - i))
+            out[to] = p[order]
+            _moved(head, c, 1)
+        i = j
+    out[small[out] & (out >= 0)] = -1
+    i, step = n, 1 << 12
+    while i > 0:
+        j = max(0, i - step)
+        at = np.flatnonzero(out[j:i] > 0)[::-1]
+        p = out[j + at] - 1
+        less = small[p]
+        at, p = at[less] + j, p[less]
+        step = min(2 * step, 1 << 16)
         if len(p):
-            _split(p, t[p], high)
-        out.append(np.concatenate(parts)[::-1] if parts else empty)
-        out.append(done_low[c])
-    return np.concatenate(out[::-1])
-
-
-def _order_names(names: np.ndarray) -> np.ndarray:
-    """Suffixes of the reduced string in order."""
-    rank, k, n = names.astype(np.int64), 1, len(names)
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: n - k] = rank[k:] + 1
-        order = np.lexsort((after, rank))
-        a, b = rank[order], after[order]
-        new = np.concatenate([[0], np.cumsum((a[1:] != a[:-1]) | (b[1:] != b[:-1]))])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        k *= 2
-        if new[-1] == n - 1 or k >= n:
-            return order
+            order, c, nth = _grouped(t[p])
+            to = end[c] - 1 - nth
+            if (last := int(to.max())) >= j:
+                j, own = last + 1, at[order] > last
+                order, c, to = order[own], c[own], to[own]
+                step = max(256, 2 * (i - j))
+            out[to] = p[order]
+            _moved(end, c, -1)
+        i = j
+    return out
 
 
 def suffix_array(t: np.ndarray, sigma: int = 257) -> np.ndarray:
     """The order of all suffixes of t (values under sigma)."""
     if len(t) == 0:
         return np.empty(0, np.int64)
-    t = t.astype(np.uint16)
+    t = t.astype(np.uint16 if sigma <= 1 << 16 else np.int32)
     small = _types(t)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     if len(lms) > 1:
@@ -139,7 +149,8 @@ def suffix_array(t: np.ndarray, sigma: int = 257) -> np.ndarray:
         along = values[number[by_substring]]
         names = np.empty(len(lms), np.int64)
         names[number[by_substring]] = np.concatenate([[0], np.cumsum(along[1:] != along[:-1])])
-        lms = lms[_order_names(names)] if names.max() < len(lms) - 1 else by_substring
+        most = int(names.max())
+        lms = lms[suffix_array(names, most + 1)] if most < len(lms) - 1 else by_substring
     return _induce(t, small, lms, sigma)
 
 
@@ -211,28 +222,53 @@ def anchor_runs(body: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gra
     return np.concatenate(texts), np.concatenate(firsts), np.concatenate(lasts), np.concatenate(hashes)
 
 
-def _anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+def _runs(batches: Iterator[pa.RecordBatch], length: int, gram: int, chosen):
+    """Of each slice of the chosen texts: the rows, bytes, and of every run its text, start and end in the bytes, start in the text, anchor."""
     for batch in batches:
-        for rows, texts in common.slices(batch, "text"):
-            text, _, _, h = anchor_runs(*common.raw(texts), length, gram)
-            order = np.lexsort((h, text))
-            text, h = text[order], h[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), rows.column("cls").take(pa.array(text[new]))], ["anchor", "cls"])
-
-
-def _contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for rows, texts in common.slices(batch, "text"):
-            text, first, last, h = anchor_runs(*common.raw(texts), length, gram)
-            wanted = [set(x) for x in rows.column("anchors").to_pylist()]
-            h = h.view(np.int64)
-            take = [i for i, (n, a) in enumerate(zip(text.tolist(), h.tolist(), strict=True)) if a in wanted[n]]
-            data = [x.as_py() for x in texts]
-            part = pa.array([data[n][a : b + length] for n, a, b in zip(text[take].tolist(), first[take].tolist(), last[take].tolist(), strict=True)], pa.binary())
-            owner = pa.array(text[take])
-            yield pa.RecordBatch.from_arrays([pa.array(h[take]), rows.column("rank").take(owner), rows.column("cls").take(owner), pa.array(first[take]), part], ["anchor", "rank", "cls", "first", "context"])
+        own = batch.filter(pa.array(common.passing(batch.column("own"), chosen)))
+        for rows, texts in common.slices(own, "text"):
+            body, offsets = common.raw(texts)
+            text, first, last, h = anchor_runs(body, offsets, length, gram)
+            yield rows, body, text, offsets[text] + first, offsets[text] + last + length, first, h.view(np.int64)
+
+
+def _anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int, chosen) -> Iterator[pa.RecordBatch]:
+    for rows, _, text, _, _, _, h in _runs(batches, length, gram, chosen):
+        order = np.lexsort((h, text))
+        text, h = text[order], h[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(h[new]), rows.column("name").take(pa.array(text[new]))], ["anchor", "name"])
+
+
+def _contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int, chosen, shared) -> Iterator[pa.RecordBatch]:
+    """The contexts of the anchors that pass, by digest."""
+    for rows, body, text, start, stop, first, h in _runs(batches, length, gram, chosen):
+        good = common.passing(h, shared)
+        text, start, stop, first, h = text[good], start[good], stop[good], first[good], h[good]
+        owner = pa.array(text)
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(common.span_hashes(body, start, stop).view(np.int64)), rows.column("rank").take(owner), rows.column("cls").take(owner), pa.array(first), pa.array(stop - start)], ["anchor", "digest", "rank", "cls", "first", "size"])
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], length: int, gram: int, chosen, wanted) -> Iterator[pa.RecordBatch]:
+    """The bytes of the contexts that pass, once for each text; of hot anchors, each string by itself."""
+    for rows, body, text, start, stop, _, h in _runs(batches, length, gram, chosen):
+        digest, rank = common.span_hashes(body, start, stop).view(np.int64), rows.column("rank").to_numpy()[text]
+        take = np.flatnonzero(common.passing(h ^ digest ^ rank, wanted))
+        take = take[np.unique(np.stack([text[take], h[take], digest[take]], 1), axis=0, return_index=True)[1]] if len(take) else take
+        start, stop, h, digest, rank = start[take], stop[take], h[take], digest[take], rank[take]
+        hot = common.passing(h ^ np.int64(_HOT_MARK), wanted)
+        many = np.where(hot, stop - start - length + 1, 1)
+        row = np.repeat(np.arange(len(take)), many)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+        start = start[row] + at
+        stop = np.where(hot[row], start + length, stop[row])
+        key = np.where(hot[row], common.span_hashes(body, start, stop).view(np.int64), h[row])
+        data = body.tobytes()
+        for a in range(0, len(row), 1 << 14):
+            z = slice(a, a + (1 << 14))
+            piece = pa.array([data[x:y] for x, y in zip(start[z].tolist(), stop[z].tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(key[z]), pa.array(h[row[z]]), pa.array(digest[row[z]]), pa.array(rank[row[z]]), pa.array(at[z]), piece], ["key", "anchor", "digest", "rank", "at", "piece"])
 
 
 def shard_minima(contexts: list[bytes], ranks: list[int], length: int = LENGTH) -> list[np.ndarray]:
@@ -257,40 +293,47 @@ def shard_minima(contexts: list[bytes], ranks: list[int], length: int = LENGTH)
 
 
 def _resolve(batches: Iterator[pa.RecordBatch], length: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor: (cls, from, to) of the bytes that smaller ids have. An anchor's rows stay in one shard."""
-    known: dict[tuple[int, bytes], int] = {}
-    ranks: list[int] = []
+    """Rows sorted by key, piece and rank: what of each context smaller ids have, counted from the context's start.
+    A key's pieces stay in one shard; the later rows of a piece are settled as they come."""
+    names = ["anchor", "digest", "rank", "a", "b"]
+    pieces: list[bytes] = []
     rows: list[tuple[int, int, int, int]] = []
-    held, current = 0, None
-
-    def flush() -> pa.RecordBatch:
-        cls, starts, stops = [], [], []
-        if known:
-            least = shard_minima([c for _, c in known], ranks, length)
-            for i, rank, name, first in rows:
-                hit = np.flatnonzero(least[i] < rank)
+    held, current, before = 0, None, None
+    done: list[tuple] = []
+
+    def full() -> pa.RecordBatch:
+        columns = list(zip(*done, strict=True)) or [()] * 5
+        done.clear()
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names)
+
+    def flush() -> None:
+        if len(pieces) > 1:
+            least = shard_minima(pieces, [r[2] for r in rows], length)
+            for (anchor, digest, rank, at), own in zip(rows, least, strict=True):
+                hit = np.flatnonzero(own < rank)
                 if len(hit):
-                    cut = np.flatnonzero(np.diff(hit) > length) + 1
-                    for part in np.split(hit, cut):
-                        cls.append(name)
-                        starts.append(first + int(part[0]))
-                        stops.append(first + int(part[-1]) + length)
-        return pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(starts, pa.int64()), pa.array(stops, pa.int64())], ["cls", "a", "b"])
+                    for part in np.split(hit, np.flatnonzero(np.diff(hit) > length) + 1):
+                        done.append((anchor, digest, rank, at + int(part[0]), at + int(part[-1]) + length))
 
     for batch in batches:
-        for anchor, rank, name, first, context in zip(*[batch.column(c).to_pylist() for c in ("anchor", "rank", "cls", "first", "context")], strict=True):
-            if anchor != current:
+        for key, anchor, digest, rank, at, piece in zip(*[batch.column(c).to_pylist() for c in ("key", "anchor", "digest", "rank", "at", "piece")], strict=True):
+            if key != current:
                 if held >= most:
-                    yield flush()
-                    known, ranks, rows, held = {}, [], [], 0
-                current = anchor
-            i = known.setdefault((anchor, context), len(ranks))
-            if i == len(ranks):
-                ranks.append(rank)
-                held += len(context) + 1
-            ranks[i] = min(ranks[i], rank)
-            rows.append((i, rank, name, first))
-    yield flush()
+                    flush()
+                    pieces, rows, held = [], [], 0
+                current, before = key, None
+            if piece == before:
+                if rank > rows[-1][2]:
+                    done.append((anchor, digest, rank, at, at + len(piece)))
+                    continue
+            before = piece
+            pieces.append(piece)
+            rows.append((anchor, digest, rank, at))
+            held += len(piece) + 1
+        if len(done) >= 1 << 16:
+            yield full()
+    flush()
+    yield full()
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -299,7 +342,7 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
             columns: list[list] = [[], [], [], []]
             for text, copy, spans in zip(texts, rows.column("copy").to_pylist(), rows.column("spans").to_pylist(), strict=True):
                 data, last, parts, n = text.as_py(), 0, [], 0
-                found = [(0, len(data))] if copy and len(data) >= length else sorted((x["a"], x["b"]) for x in spans or ())
+                found = [(0, len(data))] if copy and len(data) >= length else sorted((x["x"], x["y"]) for x in spans or ())
                 for a, b in found:
                     if a > last or n == 0:
                         n += 1
@@ -312,28 +355,58 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *[pa.array(x, pa.int64()) for x in columns[:3]], pa.array(columns[3], pa.binary())], [x.split()[0] for x in SCHEMA.split(", ")])
 
 
-def dedupe_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def _passing(batches: Iterator[pa.RecordBatch], touched, wanted: bool) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.filter(pa.array(common.passing(batch.column("own"), touched) == wanted))
+
+
+def covered_spans(rows: DataFrame, classes: DataFrame, *, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> DataFrame:
+    """(cls, spans): for each text with any, the places (x, y) of it that smaller ids have.
+    rows: cls, rank, text; classes: cls, least (the smallest rank)."""
+    chosen = common.bit_filter(classes.select(F.xxhash64("cls", "least").alias("h")))
+    texts = rows.select("cls", "rank", "text", F.xxhash64("cls", "rank").alias("own"), F.col("cls.a").alias("name"))
+    anchors = texts.mapInArrow(lambda it: _anchors(it, length, gram, chosen), "anchor long, name long")
+    shared = common.bit_filter(anchors.groupBy("anchor").agg(F.min("name").alias("lo"), F.max("name").alias("hi")).filter("lo <> hi").select(F.col("anchor").alias("h")))
+    met = texts.mapInArrow(lambda it: _contexts(it, length, gram, chosen, shared), "anchor long, digest long, rank long, cls struct<a:long,b:long>, first long, size long")
+    met = common.materialize(met, "contexts")
+    kinds = common.materialize(met.groupBy("anchor", "digest").agg(F.min("rank").alias("least"), F.max("rank").alias("most")), "kinds")
+    several = kinds.groupBy("anchor").agg((F.min("least") < F.max("most")).alias("met"), F.count("*").alias("n")).filter("met and n > 1")
+    several = common.materialize(several.select("anchor", "n"), "several")
+    triple = F.col("anchor").bitwiseXOR(F.col("digest")).bitwiseXOR(F.col("least"))
+    marks = kinds.join(several, "anchor", "left_semi").select(triple.alias("h")).unionAll(several.filter(F.col("n") > hot).select(F.col("anchor").bitwiseXOR(F.lit(_HOT_MARK))))
+    wanted = common.bit_filter(marks)
+    pieces = texts.mapInArrow(lambda it: _pieces(it, length, gram, chosen, wanted), "key long, anchor long, digest long, rank long, at long, piece binary")
+    dealt = pieces.repartition("key").sortWithinPartitions("key", "piece", "rank")
+    partly = dealt.mapInArrow(lambda it: _resolve(it, length, shard_bytes), "anchor long, digest long, rank long, a long, b long")
+    partly = common.materialize(partly.select(F.col("anchor").alias("p"), F.col("digest").alias("q"), F.col("rank").alias("r"), "a", "b"), "partly")
+    wholly = met.join(kinds.filter("least < most").select("anchor", "digest", "least"), ["anchor", "digest"]).filter(F.col("rank") > F.col("least")).select("cls", F.col("first").alias("x"), (F.col("first") + F.col("size")).alias("y"))
+    parts = met.join(partly, (F.col("anchor") == F.col("p")) & (F.col("digest") == F.col("q")) & (F.col("rank") == F.col("r"))).select("cls", (F.col("first") + F.col("a")).alias("x"), (F.col("first") + F.col("b")).alias("y"))
+    spans = common.materialize(wholly.unionAll(parts).groupBy("cls").agg(F.collect_set(F.struct("x", "y")).alias("spans")), "spans")
+    for shown in (chosen, shared, wanted):
+        shown.destroy()
+    common.discard(met, kinds, several, partly)
+    return spans
+
+
+def dedupe_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> DataFrame:
     """One row per document (SCHEMA), kept being the bytes that no document with a smaller id has in a string of `length`."""
     if not 8 <= gram < length:
         raise ValueError("gram must be 8 at least and under length")
-    digest = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
-    cls = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    cls = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("rank"), cls.alias("cls"), F.col(text_col).alias("text"))
     classes = common.materialize(rows.groupBy("cls").agg(F.min("rank").alias("least"), F.count("*").alias("copies")), "classes")
-    anchors = rows.select("cls", "text").mapInArrow(lambda it: _anchors(it, length, gram), "anchor long, cls long")
-    from pyspark.sql import Window
-
-    same = Window.partitionBy("anchor")
-    shared = anchors.withColumn("lo", F.min("cls").over(same)).withColumn("hi", F.max("cls").over(same)).filter("lo <> hi")
-    wanted = shared.groupBy("cls").agg(F.collect_set("anchor").alias("anchors")).join(classes, "cls").select(F.col("cls").alias("c"), "least", "anchors")
-    chosen = rows.join(wanted, (F.col("cls") == F.col("c")) & (F.col("rank") == F.col("least"))).select("cls", "rank", "text", "anchors")
-    contexts = chosen.mapInArrow(lambda it: _contexts(it, length, gram), "anchor long, rank long, cls long, first long, context binary")
-    covered = contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda it: _resolve(it, length, shard_bytes), "cls long, a long, b long")
-    spans = covered.groupBy("cls").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    fate = common.materialize(classes.join(spans, "cls", "left"), "spans")
-    out = common.join_unique(rows, fate, "cls", weight="copies")
-    out = out.select("doc_id", "text", (F.col("rank") > F.col("least")).alias("copy"), "spans")
-    return out.mapInArrow(lambda it: _cut(it, length), SCHEMA)
+    spans = covered_spans(rows, classes, length=length, gram=gram, shard_bytes=shard_bytes, hot=hot)
+    fate = common.materialize(classes.join(spans, "cls", "left").filter("copies > 1 or spans is not null"), "fates")
+    common.discard(classes, spans)
+    touched = common.bit_filter(fate.select(F.xxhash64("cls").alias("h")))
+    rows = rows.withColumn("own", F.xxhash64("cls"))
+    plain = "doc_id long, rank long, cls struct<a:long,b:long>, text string, own long"
+    some = common.join_unique(rows.mapInArrow(lambda it: _passing(it, touched, True), plain), fate, "cls", weight="copies")
+    some = some.select("doc_id", "text", F.coalesce(F.col("rank") > F.col("least"), F.lit(False)).alias("copy"), "spans")
+    rest = rows.mapInArrow(lambda it: _passing(it, touched, False), plain)
+    rest = rest.select("doc_id", "text", F.lit(False).alias("copy"), F.lit(None).cast("array<struct<x:bigint,y:bigint>>").alias("spans"))
+    return some.unionAll(rest).mapInArrow(lambda it: _cut(it, length), SCHEMA)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -182,7 +182,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, date: str) -> Iterato
             flush()
         archive.close()
         out.close()
-        row = pa.RecordBatch.from_arrays([pa.array([path]), pa.array([records], pa.int64())], ["archive", "n_records"])
+        row = pa.RecordBatch.from_arrays([pa.array([path]), pa.array([records], pa.int64()), pa.array([archive.at], pa.int64())], ["archive", "n_records", "n_bytes"])
         archive, member, records = None, 0, 0
         return row
 
@@ -240,7 +240,7 @@ def write_archives(pages: DataFrame, folder: str, *, min_bytes: int = 0, date: s
     copies = rows.mapInArrow(lambda it: _copies(it, shared), "page_id long, url string, html binary, digest string, n long")
     copies = common.join_unique(copies, copied, "digest", weight="copies")
     copies = copies.select("page_id", "url", "html", "digest", "n", "latest", F.coalesce(F.col("found") & ~F.col("page_id").eqNullSafe(F.col("latest")), F.lit(False)).alias("revisit"))
-    manifest = "archive string, n_records long"
+    manifest = "archive string, n_records long, n_bytes long"
     alone = rows.mapInArrow(lambda it: _write(_alone(it, shared), folder, date), manifest)
     out = common.materialize(alone.unionAll(copies.mapInArrow(lambda it: _write(it, folder, date), manifest)), "manifest")
     shared.destroy()
@@ -300,7 +300,9 @@ def _fetch(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.Rec
 def read_archives(manifest: DataFrame, *, payloads: bool = True) -> DataFrame:
     """Every record of the archives (SCHEMA); revisits have no payload of their own."""
     index = manifest.select("archive").mapInArrow(_index, "archive string, at long, size long")
-    dealt = index.repartition(F.col("archive"), F.expr(f"at div {MEMBER_BYTES}")).sortWithinPartitions("archive", "at")
+    total = manifest.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    parts = min(total // MEMBER_BYTES + 1, 32 * manifest.sparkSession.sparkContext.defaultParallelism)
+    dealt = index.repartition(int(parts), F.col("archive"), F.expr(f"at div {MEMBER_BYTES // 4}")).sortWithinPartitions("archive", "at")
     return dealt.mapInArrow(lambda it: _fetch(it, payloads), SCHEMA)
 
 
