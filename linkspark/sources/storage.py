@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Spark's own setting by which a query's shuffle files go as soon as it has ended.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def scratch(spark: SparkSession) -> str:
@@ -30,20 +31,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def shuffles_freed(spark: SparkSession) -> Iterator[None]:
-    """Within, a query that has ended leaves no shuffle files: for queries whose result is written, never run again."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session has these values within."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors. discard() deletes it."""
-    path = scratch_path(df.sparkSession, name)
-    with shuffles_freed(df.sparkSession):
+def materialize(df: DataFrame, name: str = "table", arrow_rows: int | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors. discard() deletes it.
+
+    The query's shuffle files go when it ends. arrow_rows: rows that are handed to Python at a time.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    with settings(spark, {_CLEANUP: "true"} | ({_BATCH: str(arrow_rows)} if arrow_rows else {})):
         df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch_table = path
