@@ -36,9 +36,9 @@ from linkspark.llm import common
 LENGTH = 50
 GRAM = 24
 #: Bytes of distinct contexts that one suffix array is built over.
-SHARD_BYTES = 1 << 19
+SHARD_BYTES = 2 << 20
 #: Kinds of contexts above which an anchor's strings are dealt one by one.
-HOT = 4096
+HOT = 1 << 14
 _CHUNK = 1 << 21
 _HOT_MARK = 0x5555555555555555
 _LAST = (1 << 63) - 1
@@ -59,19 +59,18 @@ def _types(t: np.ndarray) -> np.ndarray:
     return step[nearest] > 0
 
 
-def _grouped(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A stable order by c, c in that order, and each item's number within its run."""
+def _by_bucket(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A stable order by c; of each run of equal values in it, the value, start and length."""
     order = np.argsort(c, kind="stable")
-    c = c[order].astype(np.int64)
-    starts = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-    return order, c, np.arange(len(c)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(c)]])))
-
-
-def _moved(edge: np.ndarray, c: np.ndarray, by: int) -> None:
-    """Moves the buckets' edges by the numbers of items in c (ascending)."""
-    if len(c):
-        starts = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-        edge[c[starts]] += by * np.diff(np.concatenate([starts, [len(c)]]))
+    along = c[order]
+    new = np.empty(len(c), bool)
+    new[0] = True
+    np.not_equal(along[1:], along[:-1], out=new[1:])
+    starts = new.nonzero()[0]
+    many = np.empty(len(starts), np.int64)
+    many[-1] = len(c) - starts[-1]
+    np.subtract(starts[1:], starts[:-1], out=many[:-1])
+    return order, along[starts], starts, many
 
 
 def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
@@ -81,51 +80,50 @@ def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, sigma: int) -> np
     these falls, so that it never reads a place that it writes.
     """
     n = len(t)
+    count = np.arange(n, dtype=np.int32)
     size = np.bincount(t, minlength=sigma)
     end = np.cumsum(size)
-    out = np.full(n, -1, np.int64)
+    out = np.full(n, -1, np.int32)
     if len(lms):
-        order, c, nth = _grouped(t[lms])
-        out[end[c] - np.bincount(c, minlength=sigma)[c] + nth] = lms[order]
+        order, c, starts, many = _by_bucket(t[lms])
+        out[np.repeat(end[c] - many - starts, many) + count[: len(lms)]] = lms[order]
     head = end - size
     out[head[t[-1]]] = n - 1  # what stands before the empty suffix
     head[t[-1]] += 1
     i, step = 0, 1 << 12
     while i < n:
         j = min(n, i + step)
-        at = np.flatnonzero(out[i:j] > 0)
-        p = out[i + at] - 1
-        large = ~small[p]
-        at, p = at[large] + i, p[large]
-        step = min(2 * step, 1 << 16)
-        if len(p):
-            order, c, nth = _grouped(t[p])
-            to = head[c] + nth
-            if (first := int(to.min())) < j:
-                j, own = first, at[order] < first
-                order, c, to = order[own], c[own], to[own]
-                step = max(256, 2 * (j - i))
-            out[to] = p[order]
-            _moved(head, c, 1)
+        p = out[i:j] - 1
+        at = ((p >= 0) & ~small[p]).nonzero()[0]
+        step = min(2 * step, 1 << 18)
+        if len(at):
+            p = p[at]
+            chars = t[p]
+            if (first := int(head[chars.min()])) < j:
+                step, j = max(256, 2 * (first - i)), first
+                k = int(np.searchsorted(at, first - i))
+                p, chars = p[:k], chars[:k]
+            order, c, starts, many = _by_bucket(chars)
+            out[np.repeat(head[c] - starts, many) + count[: len(p)]] = p[order]
+            head[c] += many
         i = j
     out[small[out] & (out >= 0)] = -1
     i, step = n, 1 << 12
     while i > 0:
         j = max(0, i - step)
-        at = np.flatnonzero(out[j:i] > 0)[::-1]
-        p = out[j + at] - 1
-        less = small[p]
-        at, p = at[less] + j, p[less]
-        step = min(2 * step, 1 << 16)
-        if len(p):
-            order, c, nth = _grouped(t[p])
-            to = end[c] - 1 - nth
-            if (last := int(to.max())) >= j:
-                j, own = last + 1, at[order] > last
-                order, c, to = order[own], c[own], to[own]
-                step = max(256, 2 * (i - j))
-            out[to] = p[order]
-            _moved(end, c, -1)
+        p = out[j:i][::-1] - 1  # from the right
+        at = ((p >= 0) & small[p]).nonzero()[0]
+        step = min(2 * step, 1 << 18)
+        if len(at):
+            p = p[at]
+            chars = t[p]
+            if (last := int(end[chars.max()]) - 1) >= j:
+                step, j = max(256, 2 * (i - 1 - last)), last + 1
+                k = int(np.searchsorted(at, i - 1 - last))
+                p, chars = p[:k], chars[:k]
+            order, c, starts, many = _by_bucket(chars)
+            out[np.repeat(end[c] - 1 + starts, many) - count[: len(p)]] = p[order]
+            end[c] -= many
         i = j
     return out
 
@@ -157,15 +155,15 @@ def suffix_array(t: np.ndarray, sigma: int = 257) -> np.ndarray:
 def permuted_lcp(t: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
     """For each place, the bytes its suffix shares with the one before it in order (right up to `most`)."""
     n = len(t)
-    phi = np.full(n, -1, np.int64)
+    phi = np.full(n, -1, np.int32)
     phi[order[1:]] = order[:-1]
-    place = np.arange(n)
+    place = np.arange(n, dtype=np.int32)
     plain = np.zeros(n, bool)
     inner = (place > 0) & (phi > 0)
     plain[inner] = t[place[inner] - 1] == t[phi[inner] - 1]
     plain &= phi >= 0
     own = np.flatnonzero(~plain & (phi >= 0))
-    length = np.zeros(len(own), np.int64)
+    length = np.zeros(len(own), np.int32)
     live = np.arange(len(own))
     a, b = own.copy(), phi[own]
     while len(live) and len(live) and length[live].max() < most:
@@ -176,7 +174,7 @@ def permuted_lcp(t: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
         a[live] += 1
         b[live] += 1
         length[live] += 1
-    value = np.zeros(n, np.int64)
+    value = np.zeros(n, np.int32)
     value[own] = length
     source = np.maximum.accumulate(np.where(plain, 0, place))
     return np.maximum(0, value[source] - (place - source))
@@ -278,7 +276,7 @@ def shard_minima(contexts: list[bytes], ranks: list[int], length: int = LENGTH)
     edges = np.concatenate([[0], np.cumsum(sizes + 1)])
     t[edges[1:] - 1] = 0
     order = suffix_array(t)
-    shared = permuted_lcp(t, order, 4 * length)[order]
+    shared = permuted_lcp(t, order, 2 * length)[order]
     owner = np.searchsorted(edges, order, "right") - 1
     valid = order + length <= edges[owner] + sizes[owner]
     order, owner = order[valid], owner[valid]
@@ -298,7 +296,7 @@ def _resolve(batches: Iterator[pa.RecordBatch], length: int, most: int) -> Itera
     names = ["anchor", "digest", "rank", "a", "b"]
     pieces: list[bytes] = []
     rows: list[tuple[int, int, int, int]] = []
-    held, current, before = 0, None, None
+    held, start, current, before = 0, 0, None, None
     done: list[tuple] = []
 
     def full() -> pa.RecordBatch:
@@ -318,10 +316,13 @@ def _resolve(batches: Iterator[pa.RecordBatch], length: int, most: int) -> Itera
     for batch in batches:
         for key, anchor, digest, rank, at, piece in zip(*[batch.column(c).to_pylist() for c in ("key", "anchor", "digest", "rank", "at", "piece")], strict=True):
             if key != current:
+                if len(pieces) == start + 1:  # nothing to compare it with
+                    held -= len(pieces.pop()) + 1
+                    rows.pop()
                 if held >= most:
                     flush()
                     pieces, rows, held = [], [], 0
-                current, before = key, None
+                current, before, start = key, None, len(pieces)
             if piece == before:
                 if rank > rows[-1][2]:
                     done.append((anchor, digest, rank, at, at + len(piece)))
