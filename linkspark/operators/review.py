@@ -79,15 +79,38 @@ def reoptimize(scores, constraints: Constraints) -> DataFrame:
     spark, kind = e.df.sparkSession, "i long, j long"
     fixed, no = spark.createDataFrame(forced, kind), spark.createDataFrame(forbidden, kind)
     free = e.df.select("i", "j", "score").join(F.broadcast(no), ["i", "j"], "left_anti")  # a user's clicks
-    lost = e.df.select("i").distinct().join(F.broadcast(fixed.select("i")), "i", "left_anti").join(free.select("i").distinct(), "i", "left_anti")
-    if forbidden and not lost.isEmpty():
-        raise ValueError("a row has no candidate left")
+    if not _feasible(e, forced, forbidden):
+        raise ValueError("the decisions leave no complete assignment")
     rest = free.join(F.broadcast(fixed.select("i")), "i", "left_anti").join(F.broadcast(fixed.select("j")), "j", "left_anti")
     from linkspark.operators.matching import optimal
 
     return optimal()(Edges(rest.select("i", "j", "score"), e.sense)).unionByName(fixed.join(e.df.select("i", "j", "score"), ["i", "j"], "left").select("i", "j", "score"))
 
 
+def _feasible(e: Edges, forced: list[tuple[int, int]], forbidden: list[tuple[int, int]]) -> bool:
+    """Whether the smaller side can still be assigned throughout, pairs that were never proposed included.
+
+    Only a block of forbidden pairs whose rows and columns add up to more than the larger side prevents that, and such a block
+    has at least as many pairs as the larger side has members; with fewer there is nothing to solve, and else the
+    matrix has no more rows or columns than the user made decisions.
+    """
+    rows, cols = {i for i, _ in forced}, {j for _, j in forced}
+    out = [(i, j) for i, j in forbidden if i not in rows and j not in cols]
+    if not out:
+        return True
+    named = [*forced, *forbidden]
+    known = e.df.agg(F.countDistinct("i").alias("a"), F.countDistinct("j").alias("b")).first()
+    seen = {c: {r[0] for r in e.df.filter(F.col(c).isin([x[k] for x in named])).select(c).distinct().collect()} for k, c in enumerate("ij")}  # at most one a decision
+    n = (e.n_a or known.a + len({i for i, _ in named} - seen["i"])) - len(rows)
+    m = (e.n_b or known.b + len({j for _, j in named} - seen["j"])) - len(cols)
+    if len(out) < max(n, m):
+        return True
+    a, b = ({x: k for k, x in enumerate(sorted({p[side] for p in out}))} for side in (0, 1))
+    block = np.zeros((n, m))
+    block[[a[i] for i, _ in out], [b[j] for _, j in out]] = 1
+    return not any(block[x, y] for x, y in kernels.assign(block))
+
+
 def k_best_assignments(scores, k: int) -> DataFrame:
     """The k best assignments of each component: part, rank, i, j, total (its cost)."""
     e = Edges.coerce(scores)
