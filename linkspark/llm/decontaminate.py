@@ -7,10 +7,10 @@ the hash, and each is verified around its place: the item is laid along the docu
 near the hit, matching tokens score +1, others -PENALTY, and the best run must reach
 min(MIN_SCORE, tokens of the item). Everything is DataFrame expressions in one pass over the texts:
 a fixed-size bit table of the benchmark's hashes drops most placements inside the row, so only
-likely hits, each with its bit of context, become rows; no text is shuffled.
+likely hits, each with its bit of context (as long as the longest item on either side), become rows; no text is
+shuffled. Items with fewer tokens than a mask spans are looked for as they are, every token compared.
 
-Edge cases: null and empty texts have no tokens, so neither match nor are matched; items with fewer
-tokens than a mask spans are not searched for (too short to be evidence). Repeated rows are
+Edge cases: null and empty texts have no tokens, so neither match nor are matched. Repeated rows are
 judged alike. Rows with a null id are judged too; for items, a null item_id is kept as such. Empty
 tables give clean documents, or no rows. Columns other than ids and text are not looked at.
 """
@@ -26,30 +26,28 @@ from linkspark.llm import common
 MASKS = ("1101000111", "10110010011")
 MIN_SCORE = 10
 PENALTY = 2
-#: Tokens of the document that are looked at on either side of a hit.
-REACH = 40
 #: Bits of the table that placements are first held against; more hashes than bits only cost time.
 TABLE_BITS = 1 << 20
-#: Benchmark sides of at most so many rows are broadcast.
-BROADCAST_ROWS = 200_000
+#: Benchmark sides of at most so many bytes are broadcast.
+BROADCAST_BYTES = 16 << 20
 
 
 def tokens(text) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}\p{M}]+"), F.lit(0))
 
 
-def _placement(hashed: Column, k: int, ones: list[int]):
-    return lambda i: F.struct(F.xxhash64(F.lit(k), *[F.get(hashed, i + o) for o in ones]).alias("h"), i.alias("at"))
+def _placement(hashed: Column, k: int, ones: list[int], span: int):
+    return lambda i: F.struct(F.xxhash64(F.lit(k), *[F.get(hashed, i + o) for o in ones]).alias("h"), i.alias("at"), F.lit(span).alias("span"))
 
 
 def placements(hashed: Column, masks=MASKS) -> Column:
-    """array<struct<h, at>>: the hash of every placement of every mask; hashed: array of token hashes."""
+    """array<struct<h, at, span>>: the hash of every placement of every mask; hashed: array of token hashes."""
     parts = []
     for k, mask in enumerate(masks):
         ones = [i for i, x in enumerate(mask) if x == "1"]
         last = F.size(hashed) - len(mask)
         starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-        parts.append(F.transform(starts, _placement(hashed, k, ones)))
+        parts.append(F.transform(starts, _placement(hashed, k, ones, len(mask))))
     return F.concat(*parts)
 
 
@@ -63,16 +61,23 @@ def _bit_table(hashes: DataFrame, bits: int) -> Column:
     return F.from_json(F.lit(str(words)), "array<bigint>")
 
 
-def _sized(df: DataFrame, most: int) -> DataFrame:
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def _sized(df: DataFrame, row_bytes) -> DataFrame:
+    total = df.agg(F.coalesce(F.sum(row_bytes), F.lit(0))).first()[0]
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
 
 
-def find_overlaps(docs: DataFrame, items: DataFrame, *, key: list[str], text_col: str = "text", item_id: str = "item_id", item_text: str = "text", masks=MASKS, min_score: int = MIN_SCORE, penalty: int = PENALTY, reach: int = REACH, table_bits: int = TABLE_BITS) -> DataFrame:
+def find_overlaps(docs: DataFrame, items: DataFrame, *, key: list[str], text_col: str = "text", item_id: str = "item_id", item_text: str = "text", masks=MASKS, min_score: int = MIN_SCORE, penalty: int = PENALTY, table_bits: int = TABLE_BITS) -> DataFrame:
     """Verified overlaps: key columns, item_id, score (best run), n_hits. key: columns that name a document."""
-    bench = items.select(F.col(item_id).alias("item_id"), tokens(F.col(item_text)).alias("toks")).filter(F.size("toks") >= min(map(len, masks)))
+    bench = items.select(F.col(item_id).alias("item_id"), tokens(F.col(item_text)).alias("toks")).filter(F.size("toks") > 0)
     bench = common.materialize(bench.withColumn("item", F.xxhash64("item_id", "toks")).dropDuplicates(["item"]), "items")
+    span = min(map(len, masks))
+    reach = bench.agg(F.max(F.size("toks"))).first()[0] or 0
+    lengths = [r[0] for r in bench.select(F.size("toks").alias("n")).filter(F.col("n") < span).distinct().collect()]  # fewer than a mask spans
+    masks = (*masks, *["1" * n for n in sorted(lengths)])
     hashed = F.transform("toks", lambda t: F.xxhash64(t))
-    seeds = common.materialize(bench.withColumn("hashed", hashed).select("item", F.explode(placements(F.col("hashed"), masks)).alias("p")).select("item", "p.h", F.col("p.at").alias("item_at")), "seeds")
+    spread = bench.withColumn("hashed", hashed).select("item", F.size("toks").alias("n"), F.explode(placements(F.col("hashed"), masks)).alias("p"))
+    seeds = spread.filter((F.col("p.span") >= span) | (F.col("p.span") == F.col("n"))).select("item", "p.h", F.col("p.at").alias("item_at"))
+    seeds = common.materialize(seeds, "seeds")
     table = _bit_table(seeds, table_bits)
 
     toks = docs.select(*[F.col(c) for c in key], tokens(F.col(text_col)).alias("toks"))
@@ -81,7 +86,7 @@ def find_overlaps(docs: DataFrame, items: DataFrame, *, key: list[str], text_col
     likely = F.filter(placements(F.col("hashed"), masks), lambda p: F.getbit(F.get(table, F.floor(slot(p["h"]) / 64).cast("int")), F.pmod(slot(p["h"]), F.lit(64)).cast("int")) == 1)
     near = F.transform(likely, lambda p: F.struct(p["h"].alias("h"), p["at"].alias("at"), F.greatest(F.lit(0), p["at"] - reach).alias("lo"), F.slice("toks", F.greatest(F.lit(0), p["at"] - reach) + 1, 2 * reach + 1).alias("around")))
     hits = toks.select(*key, F.explode(near).alias("p")).select(*key, "p.*")
-    hits = hits.join(_sized(seeds, BROADCAST_ROWS), "h").join(_sized(bench, BROADCAST_ROWS), "item")
+    hits = hits.join(_sized(seeds, F.lit(24)), "h").join(_sized(bench, 24 + F.length(F.array_join("toks", " ")) + 16 * F.size("toks")), "item")
     # token k of the window stands against token k + lo - at + item_at of the item
     shift = F.col("lo") - F.col("at") + F.col("item_at")
     first, last = F.greatest(F.lit(0), -shift), F.least(F.size("around"), F.size("toks") - shift) - 1

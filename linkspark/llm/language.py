@@ -29,6 +29,8 @@ from linkspark.llm import common
 
 N_FEATURES = 2048
 #: Documents of each language that the bit classifiers are fitted on, at most.
+#: Parts of a language that are ranked by themselves first.
+SALTS = 64
 MAX_PER_LANGUAGE = 768
 #: Less than this between the best two languages' scores is ambiguous.
 MIN_GAP = 0.2
@@ -109,12 +111,13 @@ def _fit_bits(x: np.ndarray, y: np.ndarray, rounds: int = 300, l2: float = 1e-4)
 
 
 def fit(labelled: DataFrame, *, max_per_language: int = MAX_PER_LANGUAGE) -> Model:
-    """labelled: doc_id, text, lang. Ids are ranked without their texts; the few taken ones are broadcast."""
-    labelled = labelled.filter("text is not null and lang is not null and text rlike '\\\\p{L}'")
-    w = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ranked = labelled.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("n", F.row_number().over(w))
-    taken = ranked.filter(F.col("n") <= max_per_language).select(F.col("lang").alias("l"), F.col("doc_id").alias("i")).distinct()
-    sample = labelled.join(F.broadcast(taken), (F.col("lang") == F.col("l")) & F.col("doc_id").eqNullSafe(F.col("i")), "left_semi").select("lang", "text")
+    """labelled: doc_id, text, lang. Different rows are ranked by a hash, without their texts, in salted parts first; those
+    taken are at most max_per_language of a language, one of each that is repeated, whatever their ids."""
+    labelled = labelled.filter("text is not null and lang is not null and text rlike '\\\\p{L}'").withColumn("h", F.xxhash64("lang", "doc_id", "text"))
+    ranked = labelled.select("lang", "h").distinct().withColumn("salt", F.pmod("h", F.lit(SALTS)))
+    for part in (["lang", "salt"], ["lang"]):
+        ranked = ranked.withColumn("n", F.row_number().over(Window.partitionBy(*part).orderBy(F.xxhash64("h"), "h"))).filter(F.col("n") <= max_per_language)
+    sample = labelled.join(F.broadcast(ranked.select(F.col("h").alias("taken"))), F.col("h") == F.col("taken"), "left_semi").dropDuplicates(["h"]).select("lang", "text")
     rows = sample.mapInArrow(_featurize, "lang string, x binary").collect()  # max_per_language vectors a language
     rows.sort(key=lambda r: (r.lang, bytes(r.x)))
     languages = sorted({r.lang for r in rows})

@@ -1,9 +1,9 @@
 """Mixing sources to target weights by systematic sampling.
 
 Within a source every document expects target / source size copies. Documents stand in a fixed order
-(by binary magnitude of their size, a bucket, size, id); the running sum of expected copies starts at
+(by the eight leading bits of their size, a bucket, size, id); the running sum of expected copies starts at
 one offset per source, and a document is emitted once for each integer that its share of the sum
-crosses. The order by size keeps the words taken near the target, and the running sum is built from
+crosses. The order by size keeps the words taken near the target (they differ by about the longest document's at most), and the running sum is built from
 block counts plus a window inside each block, so a source with most of the rows has no single task.
 
 Targets: each source's weight times a common level, at most `most` times its size; the level makes the
@@ -11,7 +11,7 @@ targets add up to `share` of all sizes (excess over the caps is thereby dealt to
 
 Edge cases: null or empty texts have size 0, are still counted in the order, and take 0 words. Null
 sources form one source, last in order. A source of size 0 has target 0 and no copies. Equal rows are
-interchangeable. An empty table gives an empty result.
+interchangeable. An empty table gives an empty result. Kept columns that are named like one of the result's are left out.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from linkspark.llm import common
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
-#: Blocks of each source and binary magnitude.
-N_BLOCKS = 256
+#: Blocks of each source and size class (sizes with the same eight leading bits).
+N_BLOCKS = 16
 SEED = "mix-1"
 
 
@@ -50,13 +50,14 @@ def source_targets(sizes: DataFrame, *, weights=WEIGHTS, share: float = SHARE, m
     return t.select("source_null", "source", "source_size", "target", "rate", u.alias("offset"))
 
 
-def plan_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None, **targets) -> DataFrame:
-    """Documents with size, source_size, target and copies. keep: columns carried along (the id by default)."""
-    keep = [id_col] if keep is None else keep
+def _planned(docs: DataFrame, keep: list[str], id_col: str, text_col: str, source_col: str, **targets) -> DataFrame:
+    """row (a struct of the kept columns), size, source_size, target, copies."""
     source = F.col(source_col).cast("string")
     carried = F.struct(*[F.col(c) for c in keep]).alias("row")
     rows = docs.select(carried, F.col(id_col).cast("long").alias("id"), source.isNull().alias("source_null"), F.coalesce(source, F.lit("")).alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("tie"))
-    rows = rows.withColumn("block", F.length(F.bin("size")) * N_BLOCKS + F.pmod(F.coalesce("id", F.lit(-1)), F.lit(N_BLOCKS)))
+    bits = F.length(F.bin("size"))
+    leading = bits * 256 + F.call_function("shiftright", F.col("size"), F.greatest(bits - 8, F.lit(0)))
+    rows = rows.withColumn("block", leading * N_BLOCKS + F.pmod(F.coalesce("id", F.lit(-1)), F.lit(N_BLOCKS)))
     blocks = rows.groupBy("source_null", "source", "block").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     to = source_targets(blocks.groupBy("source_null", "source").agg(F.sum("words").alias("source_size")), **targets)
     earlier = Window.partitionBy("source_null", "source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -65,13 +66,20 @@ def plan_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     out = rows.withColumn("i", F.row_number().over(within)).join(starts, ["source_null", "source", "block"])
     i = F.col("start") + F.col("i")
     crossed = F.floor(F.col("offset") + F.col("rate") * i) - F.floor(F.col("offset") + F.col("rate") * (i - 1))
-    return out.select("row.*", "size", "source_size", "target", crossed.cast("long").alias("copies"))
+    return out.select("row", "size", "source_size", "target", crossed.cast("long").alias("copies"))
+
+
+def plan_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None, **targets) -> DataFrame:
+    """Documents with size, source_size, target and copies. keep: columns carried along (the id by default)."""
+    added = ["size", "source_size", "target", "copies"]
+    keep = [c for c in ([id_col] if keep is None else keep) if c not in added] or [id_col]
+    return _planned(docs, keep, id_col, text_col, source_col, **targets).select("row.*", *added)
 
 
-def mix_sources(docs: DataFrame, **kw) -> DataFrame:
-    """The mix itself: every column of the documents, one row per copy, with `copy` from 0."""
-    planned = plan_mix(docs, keep=docs.columns, **kw).filter("copies > 0")
-    return planned.select(*[F.col(c) for c in docs.columns], F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
+def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **targets) -> DataFrame:
+    """The mix itself: every column of the documents, one row per copy, with `copy` from 0 (in place of a column of that name)."""
+    planned = _planned(docs, docs.columns, id_col, text_col, source_col, **targets).filter("copies > 0")
+    return planned.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "copy"], F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +99,7 @@ l AS (SELECT *, ({SHARE} * sum(source_size) OVER () - {MOST} * coalesce(sum(sour
 t AS (SELECT *, least(weight * max(level) OVER (), {MOST} * source_size) AS target FROM l),
 u AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(target AS DOUBLE) / source_size ELSE 0 END AS rate,
         CAST('0x' || substr(md5('{SEED}:' || CASE WHEN sn THEN '' ELSE '=' || source END), 1, 8) AS BIGINT) / 4294967296.0 AS off FROM t),
-r AS (SELECT d.*, row_number() OVER (PARTITION BY sn, source ORDER BY length(bin(size)), ((coalesce(doc_id, -1) % {N_BLOCKS}) + {N_BLOCKS}) % {N_BLOCKS}, size, doc_id NULLS FIRST) AS i FROM d)
+r AS (SELECT d.*, row_number() OVER (PARTITION BY sn, source ORDER BY length(bin(size)) * 256 + (size >> greatest(length(bin(size)) - 8, 0)), ((coalesce(doc_id, -1) % {N_BLOCKS}) + {N_BLOCKS}) % {N_BLOCKS}, size, doc_id NULLS FIRST) AS i FROM d)
 SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target,
   CAST(size * (floor(CAST(off AS DOUBLE) + rate * i) - floor(CAST(off AS DOUBLE) + rate * (i - 1))) AS BIGINT) AS taken
 FROM r JOIN u USING (sn, source)

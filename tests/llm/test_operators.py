@@ -127,6 +127,51 @@ def test_decontaminate(spark, docs, rows):
     assert hit == {500, *[i for i, r in enumerate(rows) if r[1] and item in " ".join(words(r[1]))]}
 
 
+def test_short_items_and_long_overlaps(spark):
+    long = " ".join(f"w{i}" for i in range(300))
+    items = spark.createDataFrame([(1, "Three small words"), (2, long)], "item_id long, text string")
+    docs = spark.createDataFrame([(0, "here are three SMALL words, then"), (1, "three small other words"), (2, f"x {long} y"), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: (r["items"], r.score) for r in decontaminate.mark_contaminated(docs, items).collect()}
+    assert got == {0: ([1], 3), 1: ([], 0), 2: ([2], 300), 3: ([], 0)}
+
+
+def test_clashing_columns(spark):
+    names = ["copies", "size", "i", "t", "again", "copy", "target", "row", "block"]
+    docs = spark.createDataFrame([(k, " ".join(f"w{j + k}" for j in range(70)), "s", *[k] * len(names)) for k in range(4)], "doc_id long, text string, source string, " + ", ".join(f"{x} long" for x in names))
+    mixed = mixing.mix_sources(docs)
+    assert mixed.columns == [c for c in docs.columns if c != "copy"] + ["copy"] and mixed.count() > 0
+    assert mixing.plan_mix(docs, keep=["doc_id", "size"]).columns == ["doc_id", "size", "source_size", "target", "copies"]
+
+
+def test_mix_is_near_target(spark):
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(k, "w " * (n := min(400, int(rng.paretovariate(0.9) * 5))), f"s{k % 4}", n) for k in range(600)], "doc_id long, text string, source string, n long")
+    sums = mixing.plan_mix(docs, keep=["source"]).groupBy("source").agg(F.sum(F.expr("size * copies")).alias("taken"), F.first("target").alias("target"), F.max("size").alias("longest")).collect()
+    assert all(abs(r.taken - r.target) <= r.longest for r in sums)
+
+
+def test_language_sample_is_bounded(spark):
+    rows = spark.createDataFrame([(None, f"some words number {i} of it", "aa") for i in range(300)] + [(1, "same text again", "bb")] * 300 + [(1, f"others {i} too", "bb") for i in range(50)], "doc_id long, text string, lang string")
+    seen = []
+    real, language._fit_bits = language._fit_bits, lambda x, y: seen.append(len(x)) or (np.zeros((x.shape[1], y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32))
+    try:
+        language.fit(rows, max_per_language=20)
+    finally:
+        language._fit_bits = real
+    assert seen == [40]
+
+
+def test_many_digit_words(spark):
+    """Time follows the number of matches; spans of the base reach into words that are no candidates then."""
+    text = " ".join(f"id {k:06d}" for k in range(20_000)) + " mail a1@b.cc 10.0.0.1 call +49 30 1234 5678 now 12345"
+    found = pii.extract(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [s.kind for s in found.base if s.kind != "card"] == ["email", "ip", "phone"]
+    assert all(text[s.start : s.end] == s.value for s in [*found.base, *found.candidates])
+    places = [(m.start(), m.end()) for m in re.finditer(r"\b\d{6}\b", text)]
+    assert len(found.candidates) == 1 + sum(not any(x.start < b and a < x.end for x in found.base) for a, b in places)
+    assert found.candidates[-1].value == "12345"
+
+
 def test_suffix_arrays():
     rng = random.Random(2)
     for n, k in ((1, 2), (60, 2), (400, 3), (300, 1)):
