@@ -13,9 +13,19 @@ from pyspark.sql import functions as F
 from linkspark.llm import common, decontaminate, jaccard, mixing, pii, quality
 
 
-def _key(docs: DataFrame) -> DataFrame:
-    """Names a row by its id and its text, which no stage but redaction changes."""
-    return docs.withColumn("__th", F.xxhash64("text"))
+def _free(docs: DataFrame, *names: str) -> list[str]:
+    """These names, lengthened until the documents have no such column."""
+    out = []
+    for name in names:
+        while name in docs.columns or name in out:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def _same(docs: DataFrame, other: DataFrame, i: str, t: str):
+    """A row is named by its id and its text, which no stage but redaction changes."""
+    return docs["doc_id"].eqNullSafe(other[i]) & (F.xxhash64(docs["text"]) == other[t])
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,20 +35,23 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each component (the smallest id, once) and every row without shingles, repeated or not."""
-    found = jaccard.jaccard_components(docs)
-    alone = found.filter("set_id is null").select(F.col("doc_id").alias("i"), F.col("th").alias("t"))
-    first = found.filter("set_id is not null").groupBy("group_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("one"))
-    keys = alone.withColumn("__one", F.lit(False)).unionAll(first.select("one.doc_id", "one.th", F.lit(True))).distinct()
-    marked = _key(docs).join(keys, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("__th") == F.col("t"))).drop("i", "t", "__th")
-    marked = common.materialize(marked, "kept")
-    return marked.filter("not __one").unionByName(marked.filter("__one").dropDuplicates(["doc_id", "text"])).drop("__one")
+    i, t, again = _free(docs, "i", "t", "again")
+    found = common.materialize(jaccard.jaccard_components(docs).filter("set_id is not null").select("doc_id", "th", "group_id"), "found")
+    first = found.groupBy("group_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("one"))
+    rows = found.groupBy("group_id", "doc_id", "th").agg(F.count("*").alias("n")).join(first, "group_id")
+    kept = F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("th") == F.col("one.th"))
+    # rows that go, and rows of which one goes on: the others need no look
+    marks = rows.filter(~kept | (F.col("n") > 1)).select(F.col("doc_id").alias(i), F.col("th").alias(t), kept.alias(again))
+    marked = common.materialize(docs.join(marks, _same(docs, marks, i, t), "left").drop(i, t), "marked")
+    once = marked.filter(again).dropDuplicates(["doc_id", "text"])
+    return marked.filter(F.col(again).isNull()).unionByName(once).drop(again)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark passage."""
-    found = decontaminate.contaminated_keys(docs, common.table(spark, sf_dir, "benchmark"))
-    marked = _key(docs)
-    return marked.join(found, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("__th") == F.col("t")), "left_anti").drop("__th")
+    i, t = _free(docs, "i", "t")
+    found = decontaminate.contaminated_keys(docs, common.table(spark, sf_dir, "benchmark")).toDF(i, t)
+    return docs.join(found, _same(docs, found, i, t), "left_anti")
 
 
 def redaction_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,12 +72,16 @@ STAGES = [
     ("mixing", mixing_stage),
 ]
 
-#: The stages' models and graph scores are not expressed in SQL; run() is tested against plain Python.
+#: The stages' models and graph scores are not expressed in SQL; the tests compare what each stage does with plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
         docs = common.materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            common.discard(before)
+        before = docs
     return docs
