@@ -36,7 +36,7 @@ from linkspark.llm import common
 LENGTH = 50
 GRAM = 24
 #: Bytes of distinct contexts that one suffix array is built over.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 #: Kinds of contexts above which an anchor's strings are dealt one by one.
 HOT = 1 << 14
 _CHUNK = 1 << 21
