@@ -129,23 +129,29 @@ def brute_knn_blocking(k: int = 5, similarity: Callable | None = None):
     return block
 
 
-@blockers.add("ann")
-def ann_blocking(k: int = 5, tables: int = 8, width: float = 0.6, seed: int = 3):
-    """Approximate k nearest: buckets of random projections, then exact cosine among those that meet."""
+def ann_candidates(a: DataFrame, b: DataFrame | None = None, tables: int = 16, rows: int = 4, width: float = 0.4, seed: int = 3) -> DataFrame:
+    """Pairs (i, j) that meet: in one of `tables`, all of its `rows` random projections fall into the same buckets of `width`."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
 
-    def block(a: DataFrame, b: DataFrame | None = None) -> DataFrame:
-        from pyspark.ml.feature import BucketedRandomProjectionLSH
-        from pyspark.ml.functions import array_to_vector
+    from linkspark.functions.similarity import l2_normalize
 
-        from linkspark.functions.similarity import l2_normalize
+    vec = array_to_vector(l2_normalize(F.col("item"))).alias("vec")
+    left, right = a.select("id", vec), (a if b is None else b).select("id", vec)
+    model = BucketedRandomProjectionLSH(inputCol="vec", outputCol="hashes", bucketLength=width, numHashTables=tables * rows, seed=seed).fit(left)
+    band = lambda t: F.xxhash64(F.slice(F.transform("hashes", lambda h: h.cast("string")), t * rows + 1, F.lit(rows)))
+    side = lambda df, n: model.transform(df).select(F.col("id").alias(n), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), band)).alias("t", "h"))
+    met = side(left, "i").join(side(right, "j"), ["t", "h"]).select("i", "j").distinct()
+    return met.filter("i <> j") if b is None else met
 
-        vec = array_to_vector(l2_normalize(F.col("item"))).alias("vec")
-        left, right = a.select("id", "item", vec), (a if b is None else b).select("id", "item", vec)
-        model = BucketedRandomProjectionLSH(inputCol="vec", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=seed).fit(left)
-        side = lambda df, n, x: model.transform(df).select(F.col("id").alias(n), F.col("item").alias(x), F.posexplode("hashes").alias("t", "h")).withColumn("h", F.col("h").cast("string"))
-        met = side(left, "i", "x").select("i", "t", "h").join(side(right, "j", "y").select("j", "t", "h"), ["t", "h"]).select("i", "j").distinct()
-        if b is None:
-            met = met.filter("i <> j")
+
+@blockers.add("ann")
+def ann_blocking(k: int = 5, **options):
+    """Approximate k nearest by cosine: the best among those that meet in a bucket of random projections (ann_candidates)."""
+
+    def block(a: DataFrame, b: DataFrame | None = None) -> DataFrame:
+        left, right = a.select("id", "item"), (a if b is None else b).select("id", "item")
+        met = ann_candidates(a, b, **options)
         scored = met.join(left.select(F.col("id").alias("i"), F.col("item").alias("x")), "i").join(right.select(F.col("id").alias("j"), F.col("item").alias("y")), "j")
         return top_k(scored.select("i", "j", comparators.resolve("cosine")(F.col("x"), F.col("y")).alias("score")), k).select("i", "j")
 

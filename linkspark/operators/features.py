@@ -71,12 +71,6 @@ def sbert(model: str = "all-MiniLM-L6-v2"):
     return embed
 
 
-@featurizers.add("openai", Trait(output="vector", normalized=True))
-def openai(**_):
-    require("openai", "the openai featurizer")
-    raise NotImplementedError("embedding by a web service isn't offered; pass a callable")
-
-
 def cosine_by_terms(a: DataFrame, b: DataFrame) -> DataFrame:
     """i, j, score for all pairs that share a gram (others are 0); a, b: id, gram, weight at length 1."""
     left = a.select(F.col("id").alias("i"), "gram", F.col("weight").alias("wa"))

@@ -117,34 +117,51 @@ def match_in_key_order(edges: DataFrame, minimum: float = float("-inf")) -> Data
     return out
 
 
-def soft_match(edges, reg: float = 0.1, rounds: int = 200, tolerance: float = 1e-9) -> DataFrame:
-    """Entropic transport plan with uniform marginals over each component: i, j, mass.
+def soft_match(edges, reg: float = 0.1, rounds: int = 2000, tolerance: float = 1e-9, *, a: DataFrame | None = None, b: DataFrame | None = None, max_cells: int = MAX_CELLS) -> DataFrame:
+    """Entropic transport plan over each component: i, j, mass.
 
-    Log-domain scaling per component; a component's mass is its share of the rows. Pairs without an edge
+    a, b: the marginals (id, mass) of rows and columns, uniform if not given; within a component the columns' are scaled to the rows'.
+    Log-domain scaling per component; a component's mass is its rows' share. Pairs without an edge
     carry mass too where the marginals need it, at a cost above every real one; they are left out of the result.
+    A component that has not settled after so many rounds, or is too large, raises an error.
     """
     if reg <= 0:
         raise ValueError("reg must be positive")
     e = Edges.coerce(edges)
     n_rows = e.n_a or e.df.select("i").distinct().count()
-    parts = with_component(e.df.select("i", "j", "score").withColumn("cost", e.best))
+    parts = e.df.select("i", "j", "score").withColumn("cost", e.best)
+    total = float(n_rows) if a is None else float(a.agg(F.sum("mass")).first()[0])
+    for side, given, name in (("i", a, "row_mass"), ("j", b, "col_mass")):
+        own = F.lit(1.0) if given is None else F.col("__mass")
+        parts = parts if given is None else parts.join(given.select(F.col("id").alias(side), F.col("mass").cast("double").alias("__mass")), side)
+        parts = parts.withColumn(name, own).drop("__mass")
+    parts = with_component(parts)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, ri = np.unique(pdf["i"], return_inverse=True)
-        cols, cj = np.unique(pdf["j"], return_inverse=True)
+        rows, r0, ri = np.unique(pdf["i"], return_index=True, return_inverse=True)
+        cols, c0, cj = np.unique(pdf["j"], return_index=True, return_inverse=True)
+        if len(rows) * len(cols) > max_cells:
+            raise ValueError(f"a component of {len(rows)} x {len(cols)} is too large for a transport plan")
         c = pdf["cost"].to_numpy(float)
         c = c - c.min()
         k = np.full((len(rows), len(cols)), -(c.max() * min(len(rows), len(cols)) + 1) / reg)
         k[ri, cj] = -c / reg
-        a, b = np.log(1 / len(rows)), np.log(1 / len(cols))
+        u, v = pdf["row_mass"].to_numpy(float)[r0], pdf["col_mass"].to_numpy(float)[c0]
+        share = u.sum()
+        with np.errstate(divide="ignore"):
+            la, lb = np.log(u / share), np.log(v / v.sum())
         f, g = np.zeros(len(rows)), np.zeros(len(cols))
         for _ in range(rounds):
             old = f
-            f = a - np.logaddexp.reduce(k + g[None, :], 1)
-            g = b - np.logaddexp.reduce(k + f[:, None], 0)
-            if np.abs(f - old).max() < tolerance:
+            f = la - np.logaddexp.reduce(k + g[None, :], 1)
+            g = lb - np.logaddexp.reduce(k + f[:, None], 0)
+            if np.nanmax(np.abs(f - old)) < tolerance:
                 break
-        plan = np.exp(k + f[:, None] + g[None, :]) * len(rows) / n_rows
+        else:
+            off = np.abs(np.exp(k + f[:, None] + g[None, :]).sum(1) - u / share).max()
+            if off > 1e-3:
+                raise ValueError(f"the transport plan did not settle in {rounds} rounds; raise reg or rounds")
+        plan = np.exp(k + f[:, None] + g[None, :]) * share / total
         return pd.DataFrame({"i": rows[ri], "j": cols[cj], "mass": plan[ri, cj]})
 
     return parts.groupBy("part").applyInPandas(solve, "i long, j long, mass double")

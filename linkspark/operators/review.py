@@ -111,6 +111,28 @@ def _feasible(e: Edges, forced: list[tuple[int, int]], forbidden: list[tuple[int
     return not any(block[x, y] for x, y in kernels.assign(block))
 
 
+def solve_constrained(scores, forced=(), forbidden=()) -> DataFrame:
+    """The best complete assignment (i, j, score) with the forced and without the forbidden pairs; pairs without an edge are out.
+    No rows if there is none. The edges are one problem, of at most MAX_CELLS cells."""
+    e = Edges.coerce(scores)
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, ri = np.unique(pdf["i"], return_inverse=True)
+        cols, cj = np.unique(pdf["j"], return_inverse=True)
+        if len(rows) * len(cols) > MAX_CELLS:
+            raise ValueError("too many cells for one assignment")
+        cost = np.full((len(rows), len(cols)), np.inf)
+        cost[ri, cj] = pdf["cost"]
+        a, b = {x: k for k, x in enumerate(rows)}, {x: k for k, x in enumerate(cols)}
+        if any(i not in a or j not in b for i, j in forced):
+            return pd.DataFrame({"i": [], "j": []})
+        got = kernels.solve_constrained(cost, [(a[i], b[j]) for i, j in forced], [(a[i], b[j]) for i, j in forbidden if i in a and j in b])
+        return pd.DataFrame([(int(rows[i]), int(cols[j])) for i, j in got[0].items()] if got else [], columns=["i", "j"])
+
+    chosen = e.df.select("i", "j", "score").withColumn("cost", e.best).withColumn("whole", F.lit(0)).groupBy("whole").applyInPandas(solve, "i long, j long")
+    return chosen.join(e.df.select("i", "j", "score"), ["i", "j"])
+
+
 def k_best_assignments(scores, k: int) -> DataFrame:
     """The k best assignments of each component: part, rank, i, j, total (its cost)."""
     e = Edges.coerce(scores)

@@ -21,19 +21,33 @@ def score(a: DataFrame, b: DataFrame | None, *, featurize=None, compare=None, bl
     """Edges by the route that the options ask for: candidates scored, all pairs compared, or TF-IDF cosine."""
     if featurize is not None and compare is not None:
         raise ValueError("featurize and compare exclude each other")
-    if block is not None or compare is not None:
+    if compare is not None or block is not None and featurize is None:
         pairs = blockers.resolve(block, "all_pairs")(a, b)
-        if featurize is not None or compare is None and block is not None and featurize is not None:
-            model = featurizers.resolve(featurize)
-            model = model.fit(a if b is None else a.unionByName(b.withColumn("id", -F.col("id") - 1)))
-            found = cosine_by_terms(model.transform(a), model.transform(a if b is None else b))
-            cosines = pairs.distinct().join(found, ["i", "j"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-            return Edges(cosines, "maximize")
         return score_candidates(a, b, pairs, comparators.resolve(compare, "ratio"), _sense(compare, sense))
     model = featurizers.resolve(featurize, "tfidf")
     if not isinstance(model, TfIdf):
-        raise TypeError("this route needs a TF-IDF featurizer; give compare for others")
-    return Edges(similarity_matrix(a, a if b is None else b, model, dense=True), sense or "maximize")
+        return featurized(model)(a, b, blockers.resolve(block, "all_pairs")(a, b))
+    if block is None:
+        return Edges(similarity_matrix(a, a if b is None else b, model, dense=True), sense or "maximize")
+    model = model.fit(a if b is None else a.unionByName(b.withColumn("id", -F.col("id") - 1)))
+    found = cosine_by_terms(model.transform(a), model.transform(a if b is None else b))
+    pairs = blockers.resolve(block)(a, b).distinct()
+    return Edges(pairs.join(found, ["i", "j"], "left").withColumn("score", F.coalesce("score", F.lit(0.0))), "maximize")
+
+
+def featurized(featurizer, metric="cosine"):
+    """Scores candidate pairs by a metric of their items' vectors. featurizer: a name, or a function from items (id, item)
+    to vectors: a frame with id and vec, or with item replaced by its vector."""
+    model, compare = featurizers.resolve(featurizer), comparators.resolve(metric)
+
+    def vectors(items: DataFrame) -> DataFrame:
+        found = model(items)
+        return found.select("id", F.col("vec" if "vec" in found.columns else "item").cast("array<double>").alias("item"))
+
+    def compare_pairs(a: DataFrame, b: DataFrame | None, pairs: DataFrame) -> Edges:
+        return score_candidates(vectors(a), None if b is None else vectors(b), pairs, compare, _sense(metric, None))
+
+    return compare_pairs
 
 
 def match(a: DataFrame, b: DataFrame | None, *, featurize=None, compare=None, block=None, how: str = "assign", threshold: float | None = None, cluster=None, sense: str | None = None) -> DataFrame:

@@ -218,8 +218,8 @@ query("b9_brute_knn", f"WITH {VV}, s AS (SELECT a.id AS i, b.id AS j, row_number
 query("b10_ann")(lambda s, d: blocking.ann_blocking(5)(vectors(s, d)))
 query("b11_minhash_lsh")(lambda s, d: blocking.minhash_lsh_blocking(0.5, 128)(table(s, d, "documents").filter("text is not null").select(F.col("doc_id").alias("id"), F.col("text").alias("item"))))
 FIRST = f"{N}, c AS (SELECT a.id AS i, b.id AS j FROM n a JOIN n b ON a.id < b.id AND a.item[1:1] = b.item[1:1])"
-query("b13_prune_frequent", f"WITH {FIRST}, g AS (SELECT x FROM (SELECT i AS x FROM c UNION ALL SELECT j FROM c) GROUP BY x HAVING count(*) > 2) SELECT i, j FROM c WHERE i NOT IN (SELECT x FROM g) AND j NOT IN (SELECT x FROM g)")(
-    lambda s, d: blocking.prune_frequent(blocking.first_chars_blocker()(nations(s, d)), 2, self_join=True)
+query("b13_prune_frequent", "WITH c AS (SELECT DISTINCT s_suppkey AS i, c_custkey AS j FROM supplier JOIN customer ON s_nationkey = c_nationkey) SELECT i, j FROM c WHERE i NOT IN (SELECT i FROM c GROUP BY i HAVING count(*) > 60) AND j NOT IN (SELECT j FROM c GROUP BY j HAVING count(*) > 60)")(
+    lambda s, d: blocking.prune_frequent(QUERIES["b2_key_blocking"](s, d), 60)
 )
 
 
@@ -264,15 +264,20 @@ def _totals(pairs: DataFrame) -> DataFrame:
     return pairs.agg(F.count("*").alias("n_pairs"), F.round(F.sum("score"), 6).alias("total"))
 
 
+BEST_PAIRS = OPTIMUM.replace("SELECT CAST(5 AS BIGINT) AS n_pairs, round(max(a.score + b.score + c.score + e.score + f.score), 6) AS total", "SELECT unnest(arg_max([a.i, b.i, c.i, e.i, f.i], a.score + b.score + c.score + e.score + f.score)) AS i, unnest(range(5)) AS j")
+BEST_PAIRS = f"SELECT CAST(i AS BIGINT) AS i, j FROM ({BEST_PAIRS})"
 for _name in ("optimal", "max_weight", "kuhn_munkres", "hungarian"):
-    query(f"m1_{_name}", OPTIMUM)(lambda s, d, how=_name: _totals(matching.resolve_matcher(how)(cells(s, d))))
+    query(f"m1_{_name}", BEST_PAIRS)(lambda s, d, how=_name: matching.resolve_matcher(how)(cells(s, d)).select("i", "j"))
+query("m1_total", OPTIMUM)(lambda s, d: _totals(matching.optimal()(cells(s, d))))
 
-query("m2_greedy", f"""WITH RECURSIVE {CELLS}, o AS (SELECT *, row_number() OVER (ORDER BY score DESC, i, j) AS k FROM x),
+GREEDY = f"""WITH RECURSIVE {CELLS}, o AS (SELECT *, row_number() OVER (ORDER BY score DESC, i, j) AS k FROM x),
 g(k, ri, rj, i, j, score) AS (SELECT CAST(0 AS BIGINT), CAST([] AS INTEGER[]), CAST([] AS INTEGER[]), CAST(NULL AS INTEGER), CAST(NULL AS INTEGER), CAST(NULL AS DOUBLE)
  UNION ALL SELECT o.k, CASE WHEN list_contains(ri, o.i) OR list_contains(rj, o.j) THEN ri ELSE list_append(ri, o.i) END, CASE WHEN list_contains(ri, o.i) OR list_contains(rj, o.j) THEN rj ELSE list_append(rj, o.j) END,
  CASE WHEN list_contains(ri, o.i) OR list_contains(rj, o.j) THEN NULL ELSE o.i END, CASE WHEN list_contains(ri, o.i) OR list_contains(rj, o.j) THEN NULL ELSE o.j END, o.score FROM g JOIN o ON o.k = g.k + 1)
-SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CAST(score AS DOUBLE) AS score FROM g WHERE i IS NOT NULL""")(lambda s, d: matching.greedy()(cells(s, d)))
-query("m3_stable")(lambda s, d: matching.stable()(cells(s, d)))
+SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CAST(score AS DOUBLE) AS score FROM g WHERE i IS NOT NULL"""
+query("m2_greedy", GREEDY)(lambda s, d: matching.greedy()(cells(s, d)))
+# both sides prefer by the same scores, which differ where it matters: the stable matching is the greedy one
+query("m3_stable", GREEDY)(lambda s, d: matching.stable()(cells(s, d)))
 query("m8_soft_match")(lambda s, d: matching.soft_match(cells(s, d)).select("i", "j", F.round("mass", 6).alias("mass")))
 query("m9_harden")(lambda s, d: matching.harden(matching.soft_match(cells(s, d))).select("i", "j"))
 query("m12_to_cost", f"WITH {CELLS} SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round(max(score) OVER () - score, 6) AS score FROM x")(lambda s, d: cells(s, d).cost().select("i", "j", F.round("score", 6).alias("score")))
@@ -287,7 +292,12 @@ PARTS = """WITH RECURSIVE {0}, r(x, y) AS (SELECT id, id FROM n UNION SELECT r.x
 h AS (SELECT x AS item, min(y) AS head FROM r GROUP BY x)"""
 CLOSE = SCORED.replace("e AS (", "e0 AS (") + ", e AS (SELECT * FROM e0 WHERE score >= 0.3)"
 query("k1_connected_components", PARTS.format(CLOSE) + " SELECT item, dense_rank() OVER (ORDER BY head) - 1 AS cluster_id FROM h")(lambda s, d: clustering.connected_components()(scored(s, d).df, 25, 0.3))
-query("k2_correlation")(lambda s, d: clustering.correlation_clustering()(scored(s, d).df, 25, 0.3))
+PIVOT = f"""WITH RECURSIVE {CLOSE}, b AS (SELECT n.id, list(u.y) FILTER (u.y IS NOT NULL) AS near FROM n LEFT JOIN (SELECT i AS x, j AS y FROM e UNION ALL SELECT j, i FROM e) u ON u.x = n.id GROUP BY n.id),
+g(k, taken, own) AS (SELECT CAST(-1 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]) UNION ALL
+ SELECT b.id, CASE WHEN list_contains(taken, b.id) THEN taken ELSE list_concat(taken, list_append(list_filter(coalesce(near, []), lambda y: NOT list_contains(taken, y)), b.id)) END,
+ CASE WHEN list_contains(taken, b.id) THEN [] ELSE list_append(list_filter(coalesce(near, []), lambda y: NOT list_contains(taken, y)), b.id) END FROM g JOIN b ON b.id = g.k + 1)
+SELECT item, dense_rank() OVER (ORDER BY k) - 1 AS cluster_id FROM (SELECT k, unnest(own) AS item FROM g)"""
+query("k2_correlation", PIVOT)(lambda s, d: clustering.correlation_clustering()(scored(s, d).df, 25, 0.3))
 query("k7_pairs_within", PARTS.format(CLOSE) + " SELECT a.item AS i, b.item AS j FROM h a JOIN h b USING (head) WHERE a.item < b.item")(lambda s, d: clustering.pairs_within(clustering.connected_components()(scored(s, d).df, 25, 0.3)))
 
 
@@ -327,12 +337,16 @@ def _queue(s, d, f):
 query("i3_margins", MARGIN + " SELECT * FROM m")(lambda s, d: _queue(s, d, lambda store, rows: store.margins(rows)))
 query("i4_review_queue", MARGIN + " SELECT * FROM m ORDER BY margin, i")(lambda s, d: _queue(s, d, lambda store, rows: review.review_queue(store, rows)))
 query("i5_uncertainty_sampling", MARGIN + " SELECT * FROM m ORDER BY margin, i LIMIT 5")(lambda s, d: _queue(s, d, lambda store, rows: review.uncertainty_sampling(store, 5, rows)))
-query("i7_k_best")(lambda s, d: review.k_best_assignments(cells(s, d), 3).groupBy("part", "rank").agg(F.round(F.first("total"), 6).alias("total"), F.count("*").alias("n")))
-query("i9_reoptimize")(lambda s, d: _totals(review.reoptimize(cells(s, d), review.Constraints().confirm(0, 0).reject(1, 1))))
+query("i7_k_best", OPTIMUM.replace("SELECT CAST(5 AS BIGINT) AS n_pairs, round(max(a.score + b.score + c.score + e.score + f.score), 6) AS total", "SELECT CAST(0 AS BIGINT) AS part, CAST(row_number() OVER (ORDER BY sum_of DESC) AS INT) AS rank, round(-sum_of, 6) AS total, CAST(5 AS BIGINT) AS n FROM (SELECT a.score + b.score + c.score + e.score + f.score AS sum_of") + " ORDER BY sum_of DESC LIMIT 3)")(lambda s, d: review.k_best_assignments(cells(s, d), 3).groupBy("part", "rank").agg(F.round(F.first("total"), 6).alias("total"), F.count("*").alias("n")))
+query("i6_solve_constrained", OPTIMUM + " WHERE c.i = 4 AND a.i <> 1 AND f.i <> 10")(lambda s, d: _totals(review.solve_constrained(cells(s, d), forced=[(4, 2)], forbidden=[(1, 0), (10, 4)])))
+query("i9_reoptimize", OPTIMUM + " WHERE a.i = 0 AND b.i <> 1")(lambda s, d: _totals(review.reoptimize(cells(s, d), review.Constraints().confirm(0, 0).reject(1, 1))))
 
 # facades
 
-query("f1_match")(lambda s, d: _totals(api.match(nations(s, d), regions(s, d))))
+COSINES = f"""WITH {N}, items AS (SELECT 0 AS side, id, item FROM n UNION ALL SELECT 1, r_regionkey, r_name FROM region), {TFIDF},
+s AS (SELECT a.id AS i, b.id AS j, sum(a.w * b.w) AS score FROM u a JOIN u b USING (gram) WHERE a.side = 0 AND b.side = 1 GROUP BY ALL),
+x AS (SELECT n.id AS i, CAST(r_regionkey AS BIGINT) AS j, coalesce(score, 0) AS score FROM n CROSS JOIN region LEFT JOIN s ON n.id = s.i AND r_regionkey = s.j)"""
+query("f1_match", OPTIMUM.replace(f"WITH {CELLS}", COSINES))(lambda s, d: _totals(api.match(nations(s, d), regions(s, d))))
 query("f2_match_cluster", f"""WITH RECURSIVE n AS (SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS item FROM nation UNION ALL SELECT r_regionkey + 25, r_name FROM region),
 e AS (SELECT a.id AS i, b.id AS j FROM n a JOIN n b ON a.id < 25 AND b.id >= 25 AND {LEV} >= 0.4), r(x, y) AS (SELECT id, id FROM n UNION SELECT r.x, CASE WHEN e.i = r.y THEN e.j ELSE e.i END FROM r JOIN e ON (e.i = r.y OR e.j = r.y)),
 h AS (SELECT x AS item, min(y) AS head FROM r GROUP BY x) SELECT item, dense_rank() OVER (ORDER BY head) - 1 AS cluster_id FROM h""")(lambda s, d: api.match(nations(s, d), regions(s, d), compare="levenshtein", how="cluster", threshold=0.4))
@@ -345,7 +359,26 @@ SELECT item, dense_rank() OVER (ORDER BY head) - 1 AS cluster_id FROM h""")(
 query("f5_resolve", f"""WITH RECURSIVE n AS (SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS item FROM nation UNION ALL SELECT r_regionkey + 25, r_name FROM region),
 e AS (SELECT a.id AS i, b.id AS j FROM n a JOIN n b ON a.id < b.id AND {LEV} >= 0.5), r(x, y) AS (SELECT id, id FROM n UNION SELECT r.x, CASE WHEN e.i = r.y THEN e.j ELSE e.i END FROM r JOIN e ON (e.i = r.y OR e.j = r.y)),
 h AS (SELECT x AS item, min(y) AS head FROM r GROUP BY x) SELECT item, dense_rank() OVER (ORDER BY head) - 1 AS cluster_id FROM h""")(lambda s, d: api.resolve(nations(s, d), regions(s, d), compare="levenshtein", threshold=0.5))
-query("f7_match_keys_to_values")(lambda s, d: api.match_keys_to_values(regions(s, d), nations(s, d)).select("key", "value", F.round("score", 6).alias("score")))
+query("f7_match_keys_to_values", OPTIMUM.replace(f"WITH {CELLS}", COSINES))(lambda s, d: _totals(api.match_keys_to_values(regions(s, d), nations(s, d))))
+
+
+def _lengths(items: DataFrame) -> DataFrame:
+    """A featurizer of one's own: the shares of five letters."""
+    return items.select("id", F.transform(F.array(*map(F.lit, "AEINR")), lambda x: F.length("item") - F.length(F.replace(F.col("item"), x, F.lit(""))) + F.lit(0.0)).alias("vec"))
+
+
+@query("c16_featurized", f"""WITH {N}, v AS (SELECT id, list_transform(['A', 'E', 'I', 'N', 'R'], lambda x: CAST(length(item) - length(replace(item, x, '')) AS DOUBLE)) AS vec FROM n)
+SELECT a.id AS i, b.id AS j, round(CASE WHEN list_sum(a.vec) = 0 OR list_sum(b.vec) = 0 THEN 0 ELSE list_cosine_similarity(a.vec, b.vec) END, 6) AS score FROM v a JOIN v b ON a.id < b.id""")
+def c16_featurized(s, d):
+    n = nations(s, d)
+    return api.featurized(_lengths, "cosine")(n, None, blocking.blockers.resolve("all_pairs")(n)).df.select("i", "j", F.round("score", 6).alias("score"))
+
+
+@query("ft1_identity", f"WITH {VV} SELECT a.id AS i, b.id AS j, round(list_cosine_similarity(a.item, b.item), 6) AS score FROM v a JOIN v b ON a.label = b.label AND a.id < b.id")
+def ft1_identity(s, d):
+    v = vectors(s, d)
+    pairs = v.select(F.col("id").alias("i"), "label").join(v.select(F.col("id").alias("j"), "label"), "label").filter("i < j").select("i", "j")
+    return api.featurized("identity")(v.select("id", "item"), None, pairs).df.select("i", "j", F.round("score", 6).alias("score"))
 query("f8_match_in_key_order", f"""WITH RECURSIVE {CELLS.replace('x AS', 'y AS')}, x AS (SELECT i, j, score - 0.2 AS score FROM y),
 g(k, rj, j, score) AS (SELECT -1, CAST([] AS INTEGER[]), CAST(NULL AS INTEGER), CAST(NULL AS DOUBLE) UNION ALL
  SELECT g.k + 1, CASE WHEN b.j IS NULL THEN rj ELSE list_append(rj, b.j) END, b.j, b.score FROM g LEFT JOIN LATERAL (SELECT x.j, x.score FROM x WHERE x.i = g.k + 1 AND x.score > 0 AND NOT list_contains(g.rj, x.j) ORDER BY x.score DESC, x.j LIMIT 1) b ON true WHERE g.k < 24)
@@ -378,6 +411,10 @@ def s1_windowed_counts(s, d):
     return windowed_counts(table(s, d, "events")).select("window.start", "event_type", "n")
 
 
-@query("p1_column_profile")
+@query("p1_column_profile", """WITH a AS (SELECT DISTINCT 'o_orderstatus' AS a, lower(o_orderstatus) AS v FROM orders UNION SELECT 'o_orderpriority', lower(o_orderpriority) FROM orders),
+b AS (SELECT DISTINCT 'l_returnflag' AS b, lower(l_returnflag) AS v FROM lineitem UNION SELECT 'l_linestatus', lower(l_linestatus) FROM lineitem),
+s AS (SELECT a, b, count(*) AS n FROM a JOIN b USING (v) GROUP BY a, b),
+t AS (SELECT a, b, n / ((SELECT count(*) FROM a x WHERE x.a = s.a) + (SELECT count(*) FROM b y WHERE y.b = s.b) - n) AS score FROM s)
+SELECT a, b, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS INT) AS rank FROM t""")
 def p1_column_profile(s, d):
-    return api.column_profile_similarity(table(s, d, "customer"), table(s, d, "part")).select("a", "b", F.round("score", 6).alias("score"), "rank")
+    return api.column_profile_similarity(table(s, d, "orders"), table(s, d, "lineitem")).select("a", "b", F.round("score", 6).alias("score"), "rank")

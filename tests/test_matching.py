@@ -246,3 +246,21 @@ def test_reoptimize_against_all_assignments(spark):
                 assert sum(r.score for r in got) == -want[0][0] and not {(r.i, r.j) for r in got} & set(no)
     few = edges(spark, [(0, 0, 0.4), (1, 0, 0.3)], n_a=2, n_b=2)
     assert found(review.reoptimize(few, review.Constraints().confirm(1, 1))) == [(0, 0), (1, 1)]
+
+
+def test_featurizers_of_ones_own(spark):
+    a = items(spark, ["a b", "a a a", "b b c"])
+    counts = lambda df: df.select("id", F.array(*[(F.length("item") - F.length(F.replace("item", F.lit(x), F.lit("")))).cast("double") for x in "abc"]).alias("vec"))
+    got = {(r.i, r.j): r.score for r in api.score(a, None, featurize=counts).df.collect()}
+    vec = [[1, 1, 0], [3, 0, 0], [0, 2, 1]]
+    assert got == {(i, j): pytest.approx(np.dot(vec[i], vec[j]) / np.linalg.norm(vec[i]) / np.linalg.norm(vec[j])) for i in range(3) for j in range(i + 1, 3)}
+    assert found(api.match(a, a, featurize=counts)) == [(0, 0), (1, 1), (2, 2)]
+
+
+def test_soft_match_marginals(spark):
+    e = edges(spark, [(0, 0, 0.9), (0, 1, 0.2), (1, 0, 0.3), (1, 1, 0.8)], n_a=2, n_b=2)
+    mass = lambda *x: spark.createDataFrame(list(enumerate(map(float, x))), "id long, mass double")
+    plan = {(r.i, r.j): r.mass for r in matching.soft_match(e, a=mass(3, 1), b=mass(1, 1)).collect()}
+    assert plan[0, 0] + plan[0, 1] == pytest.approx(0.75, abs=1e-6) and plan[0, 0] + plan[1, 0] == pytest.approx(0.5, abs=1e-6)
+    with pytest.raises(Exception, match="too large"):
+        matching.soft_match(e, max_cells=3).collect()

@@ -3,6 +3,9 @@
 import itertools
 import random
 
+import numpy as np
+
+from linkspark.operators import blocking
 from linkspark.plans.queries import QUERIES
 
 
@@ -21,3 +24,20 @@ def test_minhash_lsh_recall(spark, tmp_path):
     got = [(r.i, r.j) for r in QUERIES["b11_minhash_lsh"](spark, str(tmp_path)).collect()]
     assert len(truth) == 300 and len(got) == len(set(got)) and set(got) <= truth
     assert len(got) >= 0.8 * len(truth)  # 25 bands of 5 rows find 87%
+
+
+def test_ann_recall_and_candidates(spark):
+    """Recall on vectors that have hardly any structure, and few candidates where there are near ones."""
+    rng = np.random.default_rng(4)
+    plain = rng.normal(size=(300, 64))
+    centres = rng.normal(size=(60, 64))
+    grouped = np.repeat(centres, 10, 0) + 0.05 * rng.normal(size=(600, 64))
+    for x, most in ((plain, 1.0), (grouped, 0.75)):
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        near = x @ x.T
+        np.fill_diagonal(near, -2)
+        rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, item array<double>")
+        met = {(r.i, r.j) for r in blocking.ann_candidates(rows).collect()}
+        want = [(i, int(j)) for i, js in enumerate(np.argsort(-near, 1)[:, :5]) for j in js]
+        assert sum(p in met for p in want) >= 0.9 * len(want)
+        assert len(met) <= most * len(x) * (len(x) - 1)
