@@ -36,11 +36,10 @@ from linkspark.llm import common
 LENGTH = 50
 GRAM = 24
 #: Bytes of distinct contexts that one suffix array is built over.
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 3 << 18
 #: Kinds of contexts above which an anchor's strings are dealt one by one.
 HOT = 1 << 14
 _CHUNK = 1 << 21
-_HOT_MARK = 0x5555555555555555
 _LAST = (1 << 63) - 1
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -248,14 +247,14 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int, chosen,
         yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(common.span_hashes(body, start, stop).view(np.int64)), rows.column("rank").take(owner), rows.column("cls").take(owner), pa.array(first), pa.array(stop - start)], ["anchor", "digest", "rank", "cls", "first", "size"])
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], length: int, gram: int, chosen, wanted) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], length: int, gram: int, chosen, wanted, split) -> Iterator[pa.RecordBatch]:
     """The bytes of the contexts that pass, once for each text; of hot anchors, each string by itself."""
     for rows, body, text, start, stop, _, h in _runs(batches, length, gram, chosen):
         digest, rank = common.span_hashes(body, start, stop).view(np.int64), rows.column("rank").to_numpy()[text]
         take = np.flatnonzero(common.passing(h ^ digest ^ rank, wanted))
         take = take[np.unique(np.stack([text[take], h[take], digest[take]], 1), axis=0, return_index=True)[1]] if len(take) else take
         start, stop, h, digest, rank = start[take], stop[take], h[take], digest[take], rank[take]
-        hot = common.passing(h ^ np.int64(_HOT_MARK), wanted)
+        hot = common.passing(h, split)
         many = np.where(hot, stop - start - length + 1, 1)
         row = np.repeat(np.arange(len(take)), many)
         at = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
@@ -374,16 +373,18 @@ def covered_spans(rows: DataFrame, classes: DataFrame, *, length: int = LENGTH,
     several = kinds.groupBy("anchor").agg((F.min("least") < F.max("most")).alias("met"), F.count("*").alias("n")).filter("met and n > 1")
     several = common.materialize(several.select("anchor", "n"), "several")
     triple = F.col("anchor").bitwiseXOR(F.col("digest")).bitwiseXOR(F.col("least"))
-    marks = kinds.join(several, "anchor", "left_semi").select(triple.alias("h")).unionAll(several.filter(F.col("n") > hot).select(F.col("anchor").bitwiseXOR(F.lit(_HOT_MARK))))
-    wanted = common.bit_filter(marks)
-    pieces = texts.mapInArrow(lambda it: _pieces(it, length, gram, chosen, wanted), "key long, anchor long, digest long, rank long, at long, piece binary")
+    wanted = common.bit_filter(kinds.join(several, "anchor", "left_semi").select(triple.alias("h")))
+    split = common.bit_filter(several.filter(F.col("n") > hot).select(F.col("anchor").alias("h")))  # a filter of its own: few pass needlessly
+    pieces = texts.mapInArrow(lambda it: _pieces(it, length, gram, chosen, wanted, split), "key long, anchor long, digest long, rank long, at long, piece binary")
     dealt = pieces.repartition("key").sortWithinPartitions("key", "piece", "rank")
     partly = dealt.mapInArrow(lambda it: _resolve(it, length, shard_bytes), "anchor long, digest long, rank long, a long, b long")
-    partly = common.materialize(partly.select(F.col("anchor").alias("p"), F.col("digest").alias("q"), F.col("rank").alias("r"), "a", "b"), "partly")
-    wholly = met.join(kinds.filter("least < most").select("anchor", "digest", "least"), ["anchor", "digest"]).filter(F.col("rank") > F.col("least")).select("cls", F.col("first").alias("x"), (F.col("first") + F.col("size")).alias("y"))
-    parts = met.join(partly, (F.col("anchor") == F.col("p")) & (F.col("digest") == F.col("q")) & (F.col("rank") == F.col("r"))).select("cls", (F.col("first") + F.col("a")).alias("x"), (F.col("first") + F.col("b")).alias("y"))
-    spans = common.materialize(wholly.unionAll(parts).groupBy("cls").agg(F.collect_set(F.struct("x", "y")).alias("spans")), "spans")
-    for shown in (chosen, shared, wanted):
+    partly = common.materialize(partly.groupBy("anchor", "digest", "rank").agg(F.collect_list(F.struct("a", "b")).alias("parts")).toDF("p", "q", "r", "parts"), "partly")
+    fate = kinds.join(partly, (F.col("anchor") == F.col("p")) & (F.col("digest") == F.col("q")) & (F.col("least") == F.col("r")), "left").filter("least < most or parts is not null")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("size").alias("b")))
+    cut = met.join(fate.select("anchor", "digest", "least", "parts"), ["anchor", "digest"]).select("cls", "first", F.explode(F.when(F.col("rank") > F.col("least"), whole).otherwise(F.col("parts"))).alias("part"))
+    cut = cut.select("cls", F.struct((F.col("first") + F.col("part.a")).alias("x"), (F.col("first") + F.col("part.b")).alias("y")).alias("span"))
+    spans = common.materialize(cut.groupBy("cls").agg(F.collect_set("span").alias("spans")), "spans")
+    for shown in (chosen, shared, wanted, split):
         shown.destroy()
     common.discard(met, kinds, several, partly)
     return spans
