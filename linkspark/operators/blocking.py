@@ -129,7 +129,7 @@ def brute_knn_blocking(k: int = 5, similarity: Callable | None = None):
     return block
 
 
-def ann_candidates(a: DataFrame, b: DataFrame | None = None, tables: int = 16, rows: int = 4, width: float = 0.4, seed: int = 3) -> DataFrame:
+def ann_candidates(a: DataFrame, b: DataFrame | None = None, tables: int = 24, rows: int = 4, width: float = 0.4, seed: int = 3) -> DataFrame:
     """Pairs (i, j) that meet: in one of `tables`, all of its `rows` random projections fall into the same buckets of `width`."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
