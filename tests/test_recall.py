@@ -32,12 +32,12 @@ def test_ann_recall_and_candidates(spark):
     plain = rng.normal(size=(300, 64))
     centres = rng.normal(size=(60, 64))
     grouped = np.repeat(centres, 10, 0) + 0.05 * rng.normal(size=(600, 64))
-    for x, most in ((plain, 1.0), (grouped, 0.75)):
+    for x, projections, most in ((plain, 4, 1.0), (grouped, 20, 0.1)):
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         near = x @ x.T
         np.fill_diagonal(near, -2)
         rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, item array<double>")
-        met = {(r.i, r.j) for r in blocking.ann_candidates(rows).collect()}
+        met = {(r.i, r.j) for r in blocking.ann_candidates(rows, rows=projections).collect()}
         want = [(i, int(j)) for i, js in enumerate(np.argsort(-near, 1)[:, :5]) for j in js]
         assert sum(p in met for p in want) >= 0.9 * len(want)
         assert len(met) <= most * len(x) * (len(x) - 1)
