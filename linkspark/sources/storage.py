@@ -43,13 +43,14 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
-def materialize(df: DataFrame, name: str = "table", arrow_rows: int | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str = "table", arrow_rows: int = 2048) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors. discard() deletes it.
 
-    The query's shuffle files go when it ends. arrow_rows: rows that are handed to Python at a time.
+    The query's shuffle files go when it ends. arrow_rows: rows that are handed to Python at a time (a batch of texts is held
+    by the JVM and by Python at once).
     """
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    with settings(spark, {_CLEANUP: "true"} | ({_BATCH: str(arrow_rows)} if arrow_rows else {})):
+    with settings(spark, {_CLEANUP: "true", _BATCH: str(arrow_rows)}):
         df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch_table = path
