@@ -10,7 +10,13 @@ counts of counts allow no valid discount). Then, recursively per token:
 
 A context whose counts are all above K frees no mass; its probabilities are scaled by n / (n + 1) instead,
 likewise the unigrams'. With a(v) = (1 - sum p(seen w | v)) / (1 - sum p(seen w)), so that every p( . | v) adds up to 1 over the known
-words and one unknown word. The tables are written by shard of the context.
+words and one unknown word.
+
+Texts are kept in blocks of about BLOCK_TOKENS tokens. A block asks once for each of its words and once for each of its
+pairs of words, whatever their number in it, so a hot word or pair costs one entry a block; pairs are dealt by
+a hash of both words and sent in packs. A reply has only the pair's count, in the order in which it was asked. Of the blocks
+with a pair one is told to add it to its context's sums, from which the table of backoff weights is made; that table is joined
+to the documents that back off, a row for each document and context.
 
 Edge cases: a null or empty text is its end token alone. Without training tokens every score is 0 and
 so is the base score. A null id counts as training. Repeated rows are scored alike and counted as often as they
@@ -19,9 +25,14 @@ occur. An empty table gives an empty result. Other columns than id and text are
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkspark.llm import common
@@ -29,16 +40,31 @@ from linkspark.llm import common
 #: Counts above this are not discounted.
 K = 5
 FOLDS, FOLD = 7, 2
-START, END = "\x02", "\x03"  # no word is only these: they are hashed with a salt
+#: A block ends with the text that brings it to so many tokens.
+BLOCK_TOKENS = 1 << 20
+#: Pairs are dealt to as many shards as there are SHARD_TOKENS tokens, MIN_SHARDS at least.
+SHARD_TOKENS, MIN_SHARDS = 3 << 20, 32
+#: The end of a text: the hash of a blank, which no word is.
+END = int(common.span_hashes(np.array([32], np.uint8), np.array([0]), np.array([1])).view(np.int64)[0])
+#: The id of the context before a text's first word; words have ids from 1.
+START = 0
+
+_BLOCK = "block long, ids array<long>, held array<boolean>, sizes array<int>, toks binary, words array<long>, counts array<long>"
+_ASKED = "p int, block long, n int, data binary"
+_REPLY = "p int, block long, n int, data binary, hist array<long>"
+_SCORED = (
+    "block long, at int, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, part double, "
+    "backed array<struct<v:long,unseen:long,seen:long>>, sums array<struct<v:long,n:long,kept:double,lower:double>>"
+)
 
 
-class Model(NamedTuple):
-    unigrams: DataFrame  # w, c, p
-    bigrams: DataFrame  # v, w, p
-    contexts: DataFrame  # v, a
-    n_tokens: int
-    n_words: int
-    p_unknown: float
+class Unigrams(NamedTuple):
+    total: int  # training tokens
+    words: int  # distinct ones
+    texts: int  # training texts
+    d: list[float]  # factors of counts 0 to K + 1 and above
+    norm: float
+    unseen: float  # probability of the unknown word
 
 
 def good_turing(counts: dict[int, int], k: int = K) -> dict[int, float]:
@@ -53,61 +79,230 @@ def good_turing(counts: dict[int, int], k: int = K) -> dict[int, float]:
     return {r: (r - 0.5) / r for r in range(1, k + 1)}
 
 
-def _factor(c: Column, d: dict[int, float]) -> Column:
-    return F.element_at(F.array(*[F.lit(d[r]) for r in sorted(d)], F.lit(1.0)), F.least(c, F.lit(len(d) + 1)).cast("int"))
+def _factors(counts: dict[int, int]) -> list[float]:
+    d = good_turing(counts)
+    return [0.0, *[d[r] for r in range(1, K + 1)], 1.0]
+
+
+def _discounted(c: np.ndarray, d: list[float]) -> np.ndarray:
+    return np.array(d)[np.minimum(c, K + 1)] * c
+
+
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers from 0, each in as few bytes a number as its largest needs, bytes of equal weight together."""
+    head, body = [], []
+    for x in columns:
+        most = int(x.max()) if len(x) else 0
+        width = next(b for b in (1, 2, 4, 8) if most < 1 << 8 * b)
+        head.append(width)
+        body.append(np.ascontiguousarray(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes())
+    return bytes(head) + pa.compress(b"".join(body), codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes, n: int, columns: int) -> list[np.ndarray]:
+    widths = list(data[:columns])
+    body = pa.decompress(data[columns:], decompressed_size=n * sum(widths), codec="zstd", asbytes=True) if n else b""
+    out, at = [], 0
+    for width in widths:
+        x = np.frombuffer(body, np.uint8, n * width, at).reshape(width, n)
+        out.append(np.ascontiguousarray(x.T).view(f"<u{width}").reshape(n).astype(np.int64))
+        at += n * width
+    return out
+
+
+def _blocks(most: int) -> Callable:
+    """Blocks of texts: their tokens as places in the block's sorted word hashes, which carry their counts in training texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        rows: list[tuple] = []
+
+        def block() -> pa.RecordBatch:
+            nonlocal number
+            hashes, sizes = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
+            held = np.concatenate([r[3] for r in rows])
+            words, toks = np.unique(hashes, return_inverse=True)
+            counts = np.bincount(toks, weights=np.repeat(~held, sizes), minlength=len(words)).astype(np.int64)
+            values = [number, pa.concat_arrays([r[2] for r in rows]).to_pylist(), held.tolist(), sizes, _pack(toks), words, counts]
+            rows.clear()
+            number += 1
+            types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, types, strict=True)], ["block", "ids", "held", "sizes", "toks", "words", "counts"])
 
+        for batch in batches:
+            for part, texts in common.slices(batch, "text"):
+                body, offsets = common.raw(texts)
+                body = common.LOWER[body]
+                starts, ends, before = common.word_spans(body, offsets)
+                hashes = np.insert(common.span_hashes(body, starts, ends).view(np.int64), before[1:], END)
+                ids, held = part.column("doc_id"), part.column("held").to_numpy(zero_copy_only=False).astype(bool)
+                rows.append((hashes, np.diff(before) + 1, ids, held))
+                if sum(len(r[0]) for r in rows) >= most:
+                    yield block()
+        if rows:
+            yield block()
 
-def tokens(text: Column) -> Column:
-    words = F.regexp_extract_all(common.fold_ascii(F.coalesce(text, F.lit(""))), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    return F.concat(F.transform(words, lambda w: F.xxhash64(w)), F.array(F.xxhash64(F.lit(END), F.lit(1))))
+    return run
 
 
-def _counts_of_counts(df: DataFrame) -> dict[int, int]:
-    return {r.c: r.n for r in df.filter(F.col("c") <= K + 1).groupBy("c").agg(F.count("*").alias("n")).collect()}  # K + 1 rows
+class _Block:
+    """A block read back: its distinct pairs of words, and which of them are asked for, in which order."""
 
+    def __init__(self, batch: pa.RecordBatch, row: int, shards: int) -> None:
+        self.number, self.doc_ids = batch.column("block")[row].as_py(), batch.column("ids")[row].values
+        self.sizes = batch.column("sizes")[row].values.to_numpy().astype(np.int64)
+        self.held = batch.column("held")[row].values.to_numpy(zero_copy_only=False).astype(bool)
+        self.toks = _unpack(batch.column("toks")[row].as_py(), int(self.sizes.sum()), 1)[0]
+        at, ids, counts = batch.column("known")[row].values.flatten()
+        order = np.argsort(at.to_numpy())
+        self.ids = pc.fill_null(ids, -1).to_numpy()[order]
+        self.counts = pc.fill_null(counts, 0).to_numpy()[order]
+        width = len(order)
+        before = np.concatenate([[-1], self.toks[:-1]])
+        before[np.cumsum(self.sizes) - self.sizes] = -1
+        pairs, self.which = np.unique((before + 1) * width + self.toks, return_inverse=True)
+        self.v, self.w = pairs // width - 1, pairs % width  # v: -1 at a text's start
+        self.v_id = np.where(self.v < 0, START, self.ids[self.v])
+        w_id = self.ids[self.w]
+        asked = np.flatnonzero((self.v_id >= 0) & (w_id >= 0))
+        mixed = common.mix64(common.mix64(self.v_id[asked].view(np.uint64)) ^ w_id[asked].view(np.uint64))
+        shard = (mixed % np.uint64(shards)).astype(np.int64)
+        order = np.lexsort((w_id[asked], self.v_id[asked], shard))
+        self.asked, self.shard, self.w_id = asked[order], shard[order], w_id
 
-def fit(rows: DataFrame) -> Model:
-    """rows: toks, the token hashes of each training text."""
-    uni = common.materialize(rows.select(F.explode("toks").alias("w")).groupBy("w").agg(F.count("*").alias("c")), "unigrams")
-    total = uni.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    d1 = good_turing(_counts_of_counts(uni))
-    free = uni.filter(F.col("c") <= K).isEmpty()
-    uni = common.materialize(uni.withColumn("p", _factor(F.col("c"), d1) * F.col("c") / F.lit(float(total.n + free or 1))), "unigrams")
-    seen = uni.agg(F.coalesce(F.sum("p"), F.lit(0.0))).first()[0]
 
-    pairs = rows.select(F.explode(_pairs("toks")).alias("x")).select("x.v", "x.w").groupBy("v", "w").agg(F.count("*").alias("c"))
-    pairs = common.materialize(pairs, "bigrams")
-    d2 = good_turing(_counts_of_counts(pairs))
-    sums = pairs.join(uni.select("w", F.col("p").alias("p1")), "w").groupBy("v").agg(F.sum("c").alias("n"), F.sum(_factor(F.col("c"), d2) * F.col("c")).alias("kept"), F.sum("p1").alias("lower"))
-    sums = sums.withColumn("n", F.col("n") + (F.col("kept") == F.col("n")).cast("int"))
-    contexts = common.materialize(sums.select("v", "n", ((1 - F.col("kept") / F.col("n")) / F.greatest(1 - F.col("lower"), F.lit(1e-300))).alias("a")), "contexts")
-    big = pairs.join(contexts.select("v", "n"), "v").select("v", "w", (_factor(F.col("c"), d2) * F.col("c") / F.col("n")).alias("p"), F.pmod("v", F.lit(16)).alias("shard"))
-    path = common.scratch_path(rows.sparkSession, "katz")
-    big.write.partitionBy("shard").parquet(path)
-    big = rows.sparkSession.read.schema(big.schema).parquet(path).drop("shard")
-    return Model(uni, big, contexts.select("v", "a"), int(total.n), int(total.v), max(0.0, 1 - seen))
+def _ask(shards: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                b = _Block(batch, row, shards)
+                counts = np.bincount(b.which, weights=np.repeat(~b.held, b.sizes), minlength=len(b.v)).astype(np.int64)[b.asked]
+                v, w = b.v_id[b.asked], b.w_id[b.asked]
+                edges = np.flatnonzero(np.diff(b.shard, prepend=-1, append=shards))
+                spans = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+                data = [_pack(np.diff(v[i:j], prepend=0), w[i:j], counts[i:j]) for i, j in spans]
+                columns = [[int(b.shard[i]) for i, _ in spans], [b.number] * len(spans), [j - i for i, j in spans], data]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, [pa.int32(), pa.int64(), pa.int32(), pa.binary()], strict=True)], ["p", "block", "n", "data"])
 
+    return run
 
-def _pairs(column: str) -> Column:
-    toks = F.col(column)
-    before = F.concat(F.array(F.xxhash64(F.lit(START), F.lit(2))), F.slice(toks, F.lit(1), F.size(toks) - 1))
-    return F.zip_with(before, toks, lambda v, w: F.struct(v.alias("v"), w.alias("w")))
 
+def _reply(asked: pa.Table) -> pa.Table:
+    """Twice each asked pair's count, one more in the block that adds the pair to its context; and how many pairs occur 1 to K + 1 times."""
+    sizes = asked.column("n").to_pylist()
+    parts = [_unpack(d.as_py(), n, 3) for d, n in zip(asked.column("data"), sizes, strict=True)]
+    v, w, c = np.concatenate([np.cumsum(x[0]) for x in parts]), np.concatenate([x[1] for x in parts]), np.concatenate([x[2] for x in parts])
+    del parts
+    order = np.lexsort((w, v))
+    v, w = v[order], w[order]
+    first = np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])])
+    del v, w
+    total = np.add.reduceat(c[order], np.flatnonzero(first))
+    each = total[np.cumsum(first) - 1]
+    out = np.empty(len(c), np.int64)
+    out[order] = 2 * each + (first & (each > 0))
+    ends = np.cumsum(sizes).tolist()
+    data = [_pack(out[j - n : j]) for j, n in zip(ends, sizes, strict=True)]
+    hist = np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1 : K + 2].tolist()
+    p, blocks = asked.column("p").to_pylist(), asked.column("block").to_pylist()
+    columns = [[*p, p[0]], [*blocks, None], [*sizes, 0], [*data, None], [*[None] * len(p), hist]]
+    types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+    return pa.table([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=["p", "block", "n", "data", "hist"])
 
-def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, fold: int = FOLD) -> DataFrame:
+
+def _lists(lengths: np.ndarray, fields: dict[str, np.ndarray]) -> pa.Array:
+    values = pa.StructArray.from_arrays([pa.array(x) for x in fields.values()], list(fields))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), values)
+
+
+def _score(shards: int, uni: Unigrams, d2: list[float]) -> Callable:
+    def run(block: pa.Table, replies: pa.Table) -> pa.Table:
+        b = _Block(block.combine_chunks().to_batches()[0], 0, shards)
+        n_docs, n_pairs, width = len(b.sizes), len(b.v), len(b.ids) + 1
+        got = sorted(replies.to_pylist(), key=lambda r: r["p"])
+        reply = np.zeros(n_pairs, np.int64)
+        if got:
+            reply[b.asked] = np.concatenate([_unpack(r["data"], r["n"], 1)[0] for r in got])
+        count, adds = reply >> 1, (reply & 1).astype(bool)
+        context = np.where(b.v < 0, uni.texts, b.counts[b.v])  # tokens after v
+        kept = _discounted(count, d2)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            p1 = np.where(b.counts > 0, _discounted(b.counts, uni.d) / uni.norm, uni.unseen)
+            log = np.where(count > 0, np.log10(kept / context), np.log10(p1)[b.w])
+            base = np.log10((b.counts + 1) / (uni.total + uni.words + 1))
+        doc = np.repeat(np.arange(n_docs), b.sizes)
+        sums = lambda x: np.bincount(doc, weights=x, minlength=n_docs)
+
+        # contexts that a document's tokens back off from, and those that may have no count up to K
+        low = np.zeros(width, bool)
+        low[b.v[(count > 0) & (count <= K)] + 1] = True
+        tight = (count > 0) & ~low[b.v + 1]
+        known = (count == 0) & (context > 0)
+        tokens = np.flatnonzero((tight | known)[b.which])
+        at, k = np.unique(doc[tokens] * width + b.v[b.which[tokens]] + 1, return_inverse=True)
+        unseen = np.bincount(k, weights=known[b.which[tokens]], minlength=len(at)).astype(np.int64)
+        seen = np.bincount(k, minlength=len(at)).astype(np.int64) - unseen
+        id_of = np.concatenate([[START], b.ids])
+        backed = _lists(np.bincount(at // width, minlength=n_docs), {"v": id_of[at % width], "unseen": unseen, "seen": seen})
+
+        of = np.unique(b.v[adds] + 1)
+        total = lambda x: np.bincount(b.v[adds] + 1, weights=x[adds], minlength=width)[of]
+        n_of = np.concatenate([[uni.texts], b.counts])[of]
+        weights = _lists(np.array([*[0] * (n_docs - 1), len(of)]), {"v": id_of[of], "n": n_of, "kept": total(kept), "lower": total(p1[b.w])})
+        names = ["block", "at", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "part", "backed", "sums"]
+        columns = [
+            pa.array([b.number] * n_docs, pa.int64()), pa.array(np.arange(n_docs), pa.int32()), b.doc_ids, pa.array(b.held),
+            pa.array(b.sizes), pa.array(sums((b.counts > 0)[b.toks]).astype(np.int64)), pa.array(sums(base[b.toks])), pa.array(sums(log[b.which])), backed, weights,
+        ]
+        return pa.table(columns, names=names)
+
+    return run
+
+
+def _unigrams(counts: DataFrame) -> Unigrams:
+    """counts: w, c."""
+    every = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.max(F.when(F.col("w") == END, F.col("c"))), F.lit(0)).alias("t")).first()
+    few = {r.c: r.n for r in counts.filter(F.col("c") <= K + 1).groupBy("c").agg(F.count("*").alias("n")).collect()}  # K + 1 rows
+    d = _factors(few)
+    freed = sum(few.get(r, 0) * r * (1 - d[r]) for r in range(1, K + 1)) or 1.0
+    norm = every.n + (0.0 if any(few.get(r, 0) for r in range(1, K + 1)) else 1.0)
+    return Unigrams(int(every.n), int(every.v), int(every.t), d, float(norm), freed / norm)
+
+
+def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, fold: int = FOLD, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == fold, F.lit(False))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), held.alias("held_out"), tokens(F.col(text_col)).alias("toks"))
-    model = fit(rows.filter("not held_out").select("toks"))
-    occ = rows.select("doc_id", "th", "toks").dropDuplicates(["doc_id", "th"]).select("doc_id", "th", F.explode(_pairs("toks")).alias("x")).groupBy("doc_id", "th", "x.v", "x.w").agg(F.count("*").alias("k"))
-    occ = occ.join(model.unigrams.select("w", "c", F.col("p").alias("p1")), "w", "left").join(model.bigrams, ["v", "w"], "left").join(model.contexts, "v", "left")
-    lower = F.coalesce("p1", F.lit(model.p_unknown))
-    p = F.when(F.col("p").isNotNull(), F.col("p")).otherwise(F.coalesce("a", F.lit(1.0)) * lower)
-    base = (F.coalesce("c", F.lit(0)) + 1) / F.lit(float(model.n_tokens + model.n_words + 1))
-    per = occ.groupBy(F.col("doc_id").alias("i"), F.col("th").alias("t")).agg(F.sum("k").alias("n_tokens"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("n_known"), F.sum(F.col("k") * F.log10(base)).alias("base_score"), F.sum(F.col("k") * F.log10(p)).alias("score"))
-    own = rows.select("doc_id", "th", "held_out")
-    zero = model.n_tokens == 0
-    return own.join(per, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")), "left").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), (F.lit(0.0) if zero else F.col("base_score")).alias("base_score"), (F.lit(0.0) if zero else F.col("score")).alias("score"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held"), F.col(text_col).alias("text"))
+    blocks = common.materialize(rows.mapInArrow(_blocks(block_tokens), _BLOCK), "blocks")
+    counts = blocks.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).groupBy(F.col("x.words").alias("w")).agg(F.sum("x.counts").alias("c"))
+    counts = common.materialize(counts.filter("c > 0").withColumn("id", F.monotonically_increasing_id() + START + 1), "unigrams")
+    uni = _unigrams(counts)
+    n_tokens = blocks.agg(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + x)), F.lit(0))).first()[0]
+    shards = max(MIN_SHARDS, -(-n_tokens // SHARD_TOKENS))
+
+    looked_up = blocks.select("block", F.posexplode("words").alias("at", "w")).join(counts, "w", "left").groupBy("block").agg(F.collect_list(F.struct("at", "id", "c")).alias("known"))
+    full = common.materialize(blocks.drop("words", "counts").join(looked_up, "block"), "blocks")
+    common.discard(blocks, counts)
+    replies = common.materialize(full.mapInArrow(_ask(shards), _ASKED).groupBy("p").applyInArrow(_reply, _REPLY), "bigrams", arrow_rows=4)
+    hist = replies.filter("hist is not null").agg(*[F.sum(F.col("hist")[r]).alias(f"n{r + 1}") for r in range(K + 1)]).first()
+    d2 = _factors({r: hist[r - 1] or 0 for r in range(1, K + 2)})
+    scored = full.groupBy("block").cogroup(replies.filter("block is not null").groupBy("block")).applyInArrow(_score(shards, uni, d2), _SCORED)
+    scored = common.materialize(scored, "scored", arrow_rows=4)
+    common.discard(full, replies)
+
+    weights = scored.select(F.explode("sums").alias("x")).select("x.*").groupBy("v").agg(F.max("n").alias("n"), F.sum("kept").alias("kept"), F.sum("lower").alias("lower"))
+    n = F.col("n") + (F.col("kept") == F.col("n")).cast("int")
+    a = F.log10((1 - F.col("kept") / n) / F.greatest(1 - F.col("lower"), F.lit(1e-300)))
+    weights = common.materialize(weights.select("v", a.alias("a"), F.log10(F.col("n") / n).alias("shift")), "contexts")
+    backed = scored.select("block", "at", F.explode("backed").alias("x")).select("block", "at", "x.*")
+    backed = common.join_unique(backed, weights, "v").groupBy("block", "at")
+    backed = backed.agg(F.sum(F.col("unseen") * F.coalesce("a", F.lit(0.0)) + F.col("seen") * F.coalesce("shift", F.lit(0.0))).alias("rest"))
+    score = (lambda c: F.lit(0.0)) if uni.total == 0 else (lambda c: c)
+    out = scored.drop("backed", "sums").join(backed, ["block", "at"], "left")
+    return out.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(uni.total).cast("long").alias("train_tokens"),
+        score(F.col("base_score")).alias("base_score"), score(F.col("part") + F.coalesce("rest", F.lit(0.0))).alias("score"),
+    )
 
 
 def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -225,7 +225,10 @@ def test_katz(docs, rows):
         return ((1 - kept[a] / cv[a]) / (1 - lower[a]) if cv[a] else 1) * p1.get(w, 1 - sum(p1.values()))
 
     assert all(sum(p(a, w) for w in c1) + p(a, "unseen word") == pytest.approx(1) for a in list(cv)[:20])
-    for r in katz.score_documents(docs).collect():
+    blocks = {tuple(r)[:6]: r.score for r in katz.score_documents(docs, block_tokens=100).collect()}
+    got = katz.score_documents(docs).collect()
+    assert all(blocks[tuple(r)[:6]] == pytest.approx(r.score, rel=1e-9) for r in got) and len(blocks) == len(got) == len(rows)
+    for r in got:
         t = toks[r.doc_id]
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(t), sum(c1[w] > 0 for w in t), n, r.doc_id not in train)
         assert r.base_score == pytest.approx(sum(math.log10((c1[w] + 1) / (n + v + 1)) for w in t), rel=1e-9)
