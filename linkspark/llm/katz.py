@@ -12,11 +12,11 @@ A context whose counts are all above K frees no mass; its probabilities are scal
 likewise the unigrams'. With a(v) = (1 - sum p(seen w | v)) / (1 - sum p(seen w)), so that every p( . | v) adds up to 1 over the known
 words and one unknown word.
 
-Texts are kept in blocks of about BLOCK_TOKENS tokens. A block asks once for each of its words and once for each of its
-pairs of words, whatever their number in it, so a hot word or pair costs one entry a block; pairs are dealt by
-a hash of both words and sent in packs. A reply has only the pair's count, in the order in which it was asked. Of the blocks
-with a pair one is told to add it to its context's sums, from which the table of backoff weights is made; that table is joined
-to the documents that back off, a row for each document and context.
+Texts are kept in blocks of about BLOCK_TOKENS tokens. A block asks once for each of its words, then once for each of its
+pairs of words, whatever their number in it, so a hot word or pair costs one entry a block; words are dealt by their hash, pairs by
+a hash of both words, and both are sent in packs. A reply has the word's count and number, or the pair's count, in the order in which
+it was asked. Of the blocks with a pair one is told to add it to its context's sums, from which the table of backoff weights is made;
+that table is joined to the documents that back off, a row for each document and context.
 
 Edge cases: a null or empty text is its end token alone. Without training tokens every score is 0 and
 so is the base score. A null id counts as training. Repeated rows are scored alike and counted as often as they
@@ -30,7 +30,6 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,16 +41,16 @@ K = 5
 FOLDS, FOLD = 7, 2
 #: A block ends with the text that brings it to so many tokens.
 BLOCK_TOKENS = 1 << 20
-#: Pairs are dealt to as many shards as there are SHARD_TOKENS tokens, MIN_SHARDS at least.
+#: Words and pairs are dealt to as many shards as there are SHARD_TOKENS tokens, MIN_SHARDS at least.
 SHARD_TOKENS, MIN_SHARDS = 3 << 20, 32
 #: The end of a text: the hash of a blank, which no word is.
-END = int(common.span_hashes(np.array([32], np.uint8), np.array([0]), np.array([1])).view(np.int64)[0])
+END = common.span_hashes(np.array([32], np.uint8), np.array([0]), np.array([1]))[0]
 #: The id of the context before a text's first word; words have ids from 1.
 START = 0
 
-_BLOCK = "block long, ids array<long>, held array<boolean>, sizes array<int>, toks binary, words array<long>, counts array<long>"
+_TEXTS = "block long, ids array<long>, held array<boolean>, sizes array<int>, toks binary, n_words int, words binary"
 _ASKED = "p int, block long, n int, data binary"
-_REPLY = "p int, block long, n int, data binary, hist array<long>"
+_REPLY = "p int, block long, n int, data binary, facts array<long>"
 _SCORED = (
     "block long, at int, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, part double, "
     "backed array<struct<v:long,unseen:long,seen:long>>, sums array<struct<v:long,n:long,kept:double,lower:double>>"
@@ -89,13 +88,12 @@ def _discounted(c: np.ndarray, d: list[float]) -> np.ndarray:
 
 
 def _pack(*columns: np.ndarray) -> bytes:
-    """Columns of whole numbers from 0, each in as few bytes a number as its largest needs, bytes of equal weight together."""
+    """Columns of 64-bit numbers from 0, each in as few bytes a number as its largest needs, bytes of equal weight together."""
     head, body = [], []
     for x in columns:
-        most = int(x.max()) if len(x) else 0
-        width = next(b for b in (1, 2, 4, 8) if most < 1 << 8 * b)
+        width = max(1, -(-int(x.view(np.uint64).max()).bit_length() // 8)) if len(x) else 1
         head.append(width)
-        body.append(np.ascontiguousarray(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes())
+        body.append(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
     return bytes(head) + pa.compress(b"".join(body), codec="zstd", asbytes=True)
 
 
@@ -104,14 +102,49 @@ def _unpack(data: bytes, n: int, columns: int) -> list[np.ndarray]:
     body = pa.decompress(data[columns:], decompressed_size=n * sum(widths), codec="zstd", asbytes=True) if n else b""
     out, at = [], 0
     for width in widths:
-        x = np.frombuffer(body, np.uint8, n * width, at).reshape(width, n)
-        out.append(np.ascontiguousarray(x.T).view(f"<u{width}").reshape(n).astype(np.int64))
+        x = np.zeros((n, 8), np.uint8)
+        x[:, :width] = np.frombuffer(body, np.uint8, n * width, at).reshape(width, n).T
+        out.append(x.view(np.int64).reshape(n))
         at += n * width
     return out
 
 
+def _gaps(x: np.ndarray) -> np.ndarray:
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
+def _packs(block: int, shard: np.ndarray, shards: int, *columns: np.ndarray) -> pa.RecordBatch:
+    """A row of each shard with its numbers; the first column grows within a shard."""
+    edges = np.flatnonzero(np.diff(shard, prepend=-1, append=shards))
+    spans = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+    data = [_pack(_gaps(columns[0][i:j]), *[x[i:j] for x in columns[1:]]) for i, j in spans]
+    values = [[int(shard[i]) for i, _ in spans], [block] * len(spans), [j - i for i, j in spans], data]
+    types = [pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(values, types, strict=True)], ["p", "block", "n", "data"])
+
+
+def _asked(asked: pa.Table, columns: int) -> list[np.ndarray]:
+    """The numbers of all rows of a shard."""
+    parts = [_unpack(d.as_py(), n, columns) for d, n in zip(asked.column("data"), asked.column("n").to_pylist(), strict=True)]
+    return [np.concatenate([np.cumsum(x[0]) for x in parts]), *[np.concatenate([x[c] for x in parts]) for c in range(1, columns)]]
+
+
+def _replies(asked: pa.Table, answer: Callable, facts: list[int]) -> pa.Table:
+    """A reply to each row, answer(first, last) of its numbers, and a row of the shard's facts."""
+    p, blocks, sizes = asked.column("p").to_pylist(), asked.column("block").to_pylist(), asked.column("n").to_pylist()
+    data = [_pack(*answer(j - n, j)) for j, n in zip(np.cumsum(sizes).tolist(), sizes, strict=True)]
+    columns = [[*p, p[0]], [*blocks, None], [*sizes, 0], [*data, None], [*[None] * len(p), facts]]
+    types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+    return pa.table([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=["p", "block", "n", "data", "facts"])
+
+
+def _few(total: np.ndarray) -> list[int]:
+    """How many occur 1 to K + 1 times."""
+    return np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1 : K + 2].tolist()
+
+
 def _blocks(most: int) -> Callable:
-    """Blocks of texts: their tokens as places in the block's sorted word hashes, which carry their counts in training texts."""
+    """Blocks of texts: their tokens as places in the block's sorted word hashes, these with their counts in training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -123,18 +156,18 @@ def _blocks(most: int) -> Callable:
             held = np.concatenate([r[3] for r in rows])
             words, toks = np.unique(hashes, return_inverse=True)
             counts = np.bincount(toks, weights=np.repeat(~held, sizes), minlength=len(words)).astype(np.int64)
-            values = [number, pa.concat_arrays([r[2] for r in rows]).to_pylist(), held.tolist(), sizes, _pack(toks), words, counts]
+            values = [number, pa.concat_arrays([r[2] for r in rows]).to_pylist(), held.tolist(), sizes, _pack(toks), len(words), _pack(_gaps(words), counts)]
             rows.clear()
             number += 1
-            types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, types, strict=True)], ["block", "ids", "held", "sizes", "toks", "words", "counts"])
+            types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.int32(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, types, strict=True)], ["block", "ids", "held", "sizes", "toks", "n_words", "words"])
 
         for batch in batches:
             for part, texts in common.slices(batch, "text"):
                 body, offsets = common.raw(texts)
                 body = common.LOWER[body]
                 starts, ends, before = common.word_spans(body, offsets)
-                hashes = np.insert(common.span_hashes(body, starts, ends).view(np.int64), before[1:], END)
+                hashes = np.insert(common.span_hashes(body, starts, ends), before[1:], END)
                 ids, held = part.column("doc_id"), part.column("held").to_numpy(zero_copy_only=False).astype(bool)
                 rows.append((hashes, np.diff(before) + 1, ids, held))
                 if sum(len(r[0]) for r in rows) >= most:
@@ -145,6 +178,49 @@ def _blocks(most: int) -> Callable:
     return run
 
 
+def _ask_words(shards: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, n, words in zip(*[batch.column(c) for c in ("block", "n_words", "words")], strict=True):
+                gaps, counts = _unpack(words.as_py(), n.as_py(), 2)
+                words = np.cumsum(gaps).view(np.uint64)
+                yield _packs(block.as_py(), _word_shard(words, shards), shards, words, counts)
+
+    return run
+
+
+def _word_shard(words: np.ndarray, shards: int) -> np.ndarray:
+    """Grows with the hash."""
+    return ((words >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
+def _reply_words(asked: pa.Table) -> pa.Table:
+    """Each asked word's place among the shard's words, and its count. Facts: tokens, words, texts, words that occur 1 to K + 1 times, places."""
+    words, counts = _asked(asked, 2)
+    words = words.view(np.uint64)
+    order = np.argsort(words, kind="stable")
+    first = np.diff(words[order], prepend=~words[order[0]]) != 0
+    total = np.add.reduceat(counts[order], np.flatnonzero(first))
+    place, count = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+    place[order] = np.cumsum(first) - 1
+    count[order] = total[place[order]]
+    texts = int(counts[words == END].sum())
+    return _replies(asked, lambda i, j: (_gaps(place[i:j]), count[i:j]), [int(total.sum()), int((total > 0).sum()), texts, *_few(total), len(total)])
+
+
+def _name_words(bits: int) -> Callable:
+    """The block's texts with the ids and counts of their words; ids: the shard's number, then the place in it (bits)."""
+
+    def run(texts: pa.Table, replies: pa.Table) -> pa.Table:
+        got = sorted(replies.to_pylist(), key=lambda r: r["p"])
+        parts = [_unpack(r["data"], r["n"], 2) for r in got]
+        ids = np.concatenate([(r["p"] << bits) + np.cumsum(x[0]) + START + 1 for r, x in zip(got, parts, strict=True)])
+        known = pa.array([_pack(_gaps(ids), np.concatenate([x[1] for x in parts]))], pa.binary())
+        return texts.set_column(texts.schema.get_field_index("words"), "words", known)
+
+    return run
+
+
 class _Block:
     """A block read back: its distinct pairs of words, and which of them are asked for, in which order."""
 
@@ -153,11 +229,9 @@ class _Block:
         self.sizes = batch.column("sizes")[row].values.to_numpy().astype(np.int64)
         self.held = batch.column("held")[row].values.to_numpy(zero_copy_only=False).astype(bool)
         self.toks = _unpack(batch.column("toks")[row].as_py(), int(self.sizes.sum()), 1)[0]
-        at, ids, counts = batch.column("known")[row].values.flatten()
-        order = np.argsort(at.to_numpy())
-        self.ids = pc.fill_null(ids, -1).to_numpy()[order]
-        self.counts = pc.fill_null(counts, 0).to_numpy()[order]
-        width = len(order)
+        width = batch.column("n_words")[row].as_py()
+        gaps, self.counts = _unpack(batch.column("words")[row].as_py(), width, 2)
+        self.ids = np.where(self.counts > 0, np.cumsum(gaps), -1)
         before = np.concatenate([[-1], self.toks[:-1]])
         before[np.cumsum(self.sizes) - self.sizes] = -1
         pairs, self.which = np.unique((before + 1) * width + self.toks, return_inverse=True)
@@ -168,31 +242,24 @@ class _Block:
         mixed = common.mix64(common.mix64(self.v_id[asked].view(np.uint64)) ^ w_id[asked].view(np.uint64))
         shard = (mixed % np.uint64(shards)).astype(np.int64)
         order = np.lexsort((w_id[asked], self.v_id[asked], shard))
-        self.asked, self.shard, self.w_id = asked[order], shard[order], w_id
+        self.asked, self.shard = asked[order], shard[order]
+        self.w_id = w_id[self.asked]
 
 
-def _ask(shards: int) -> Callable:
+def _ask_pairs(shards: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 b = _Block(batch, row, shards)
                 counts = np.bincount(b.which, weights=np.repeat(~b.held, b.sizes), minlength=len(b.v)).astype(np.int64)[b.asked]
-                v, w = b.v_id[b.asked], b.w_id[b.asked]
-                edges = np.flatnonzero(np.diff(b.shard, prepend=-1, append=shards))
-                spans = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
-                data = [_pack(np.diff(v[i:j], prepend=0), w[i:j], counts[i:j]) for i, j in spans]
-                columns = [[int(b.shard[i]) for i, _ in spans], [b.number] * len(spans), [j - i for i, j in spans], data]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, [pa.int32(), pa.int64(), pa.int32(), pa.binary()], strict=True)], ["p", "block", "n", "data"])
+                yield _packs(b.number, b.shard, shards, b.v_id[b.asked], b.w_id, counts)
 
     return run
 
 
-def _reply(asked: pa.Table) -> pa.Table:
-    """Twice each asked pair's count, one more in the block that adds the pair to its context; and how many pairs occur 1 to K + 1 times."""
-    sizes = asked.column("n").to_pylist()
-    parts = [_unpack(d.as_py(), n, 3) for d, n in zip(asked.column("data"), sizes, strict=True)]
-    v, w, c = np.concatenate([np.cumsum(x[0]) for x in parts]), np.concatenate([x[1] for x in parts]), np.concatenate([x[2] for x in parts])
-    del parts
+def _reply_pairs(asked: pa.Table) -> pa.Table:
+    """Twice each asked pair's count, one more in the block that adds the pair to its context. Facts: pairs that occur 1 to K + 1 times."""
+    v, w, c = _asked(asked, 3)
     order = np.lexsort((w, v))
     v, w = v[order], w[order]
     first = np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])])
@@ -201,13 +268,7 @@ def _reply(asked: pa.Table) -> pa.Table:
     each = total[np.cumsum(first) - 1]
     out = np.empty(len(c), np.int64)
     out[order] = 2 * each + (first & (each > 0))
-    ends = np.cumsum(sizes).tolist()
-    data = [_pack(out[j - n : j]) for j, n in zip(ends, sizes, strict=True)]
-    hist = np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1 : K + 2].tolist()
-    p, blocks = asked.column("p").to_pylist(), asked.column("block").to_pylist()
-    columns = [[*p, p[0]], [*blocks, None], [*sizes, 0], [*data, None], [*[None] * len(p), hist]]
-    types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
-    return pa.table([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=["p", "block", "n", "data", "hist"])
+    return _replies(asked, lambda i, j: (out[i:j],), _few(total))
 
 
 def _lists(lengths: np.ndarray, fields: dict[str, np.ndarray]) -> pa.Array:
@@ -259,33 +320,36 @@ def _score(shards: int, uni: Unigrams, d2: list[float]) -> Callable:
     return run
 
 
-def _unigrams(counts: DataFrame) -> Unigrams:
-    """counts: w, c."""
-    every = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.max(F.when(F.col("w") == END, F.col("c"))), F.lit(0)).alias("t")).first()
-    few = {r.c: r.n for r in counts.filter(F.col("c") <= K + 1).groupBy("c").agg(F.count("*").alias("n")).collect()}  # K + 1 rows
-    d = _factors(few)
-    freed = sum(few.get(r, 0) * r * (1 - d[r]) for r in range(1, K + 1)) or 1.0
-    norm = every.n + (0.0 if any(few.get(r, 0) for r in range(1, K + 1)) else 1.0)
-    return Unigrams(int(every.n), int(every.v), int(every.t), d, float(norm), freed / norm)
+def _unigrams(n: int, v: int, t: int, *few: int) -> Unigrams:
+    d = _factors(dict(enumerate(few, 1)))
+    freed = sum(few[r - 1] * r * (1 - d[r]) for r in range(1, K + 1)) or 1.0
+    norm = n + (0.0 if any(few[:K]) else 1.0)
+    return Unigrams(n, v, t, d, float(norm), freed / norm)
+
+
+def _facts(replies: DataFrame, n: int) -> list[int]:
+    """The sums of the shards' facts, and the largest of the last one."""
+    facts = replies.filter("facts is not null")
+    row = facts.agg(*[F.sum(F.col("facts")[k]) for k in range(n)], F.max(F.col("facts")[n - 1])).first()
+    return [int(x or 0) for x in row]
 
 
 def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, fold: int = FOLD, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == fold, F.lit(False))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held"), F.col(text_col).alias("text"))
-    blocks = common.materialize(rows.mapInArrow(_blocks(block_tokens), _BLOCK), "blocks")
-    counts = blocks.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).groupBy(F.col("x.words").alias("w")).agg(F.sum("x.counts").alias("c"))
-    counts = common.materialize(counts.filter("c > 0").withColumn("id", F.monotonically_increasing_id() + START + 1), "unigrams")
-    uni = _unigrams(counts)
-    n_tokens = blocks.agg(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + x)), F.lit(0))).first()[0]
+    texts = common.materialize(rows.mapInArrow(_blocks(block_tokens), _TEXTS), "texts")
+    n_tokens = texts.agg(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + x)), F.lit(0))).first()[0]
     shards = max(MIN_SHARDS, -(-n_tokens // SHARD_TOKENS))
 
-    looked_up = blocks.select("block", F.posexplode("words").alias("at", "w")).join(counts, "w", "left").groupBy("block").agg(F.collect_list(F.struct("at", "id", "c")).alias("known"))
-    full = common.materialize(blocks.drop("words", "counts").join(looked_up, "block"), "blocks")
-    common.discard(blocks, counts)
-    replies = common.materialize(full.mapInArrow(_ask(shards), _ASKED).groupBy("p").applyInArrow(_reply, _REPLY), "bigrams", arrow_rows=4)
-    hist = replies.filter("hist is not null").agg(*[F.sum(F.col("hist")[r]).alias(f"n{r + 1}") for r in range(K + 1)]).first()
-    d2 = _factors({r: hist[r - 1] or 0 for r in range(1, K + 2)})
+    words = common.materialize(texts.mapInArrow(_ask_words(shards), _ASKED).groupBy("p").applyInArrow(_reply_words, _REPLY), "unigrams", arrow_rows=4)
+    *facts, _, places = _facts(words, K + 5)
+    uni = _unigrams(*facts)
+    named = texts.groupBy("block").cogroup(words.filter("block is not null").groupBy("block")).applyInArrow(_name_words(places.bit_length()), _TEXTS)
+    full = common.materialize(named, "blocks", arrow_rows=4)
+    common.discard(texts, words)
+    replies = common.materialize(full.mapInArrow(_ask_pairs(shards), _ASKED).groupBy("p").applyInArrow(_reply_pairs, _REPLY), "bigrams", arrow_rows=4)
+    d2 = _factors(dict(enumerate(_facts(replies, K + 1)[: K + 1], 1)))
     scored = full.groupBy("block").cogroup(replies.filter("block is not null").groupBy("block")).applyInArrow(_score(shards, uni, d2), _SCORED)
     scored = common.materialize(scored, "scored", arrow_rows=4)
     common.discard(full, replies)
