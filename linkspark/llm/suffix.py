@@ -40,6 +40,8 @@ SHARD_BYTES = 3 << 18
 #: Kinds of contexts above which an anchor's strings are dealt one by one.
 HOT = 1 << 14
 _CHUNK = 1 << 21
+#: Anchors are sought in slices of about so many bytes: an array of their hashes is eight times that.
+_SLICE = 1 << 17
 _LAST = (1 << 63) - 1
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -185,6 +187,7 @@ def anchor_runs(body: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gra
     """Runs of string starts with one anchor: text number, first and last start (in the text), anchor hash."""
     w = length - gram + 1
     texts, firsts, lasts, hashes = [], [], [], []
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     for base in range(0, max(1, len(body)), _CHUNK):
         part = body[base : base + _CHUNK + length - 1]
         if len(part) < length:
@@ -201,7 +204,7 @@ def anchor_runs(body: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gra
         if span < w:
             low = np.minimum(low[: m - w + 1], low[w - span : w - span + m - w + 1])
         start = np.arange(len(low)) + base
-        text = np.searchsorted(offsets, start, "right") - 1
+        text = owner[base : base + len(low)]
         good = start + length <= offsets[text + 1]
         start, text, at = start[good], text[good], (low[good] & np.uint64((1 << 24) - 1)).astype(np.int64)
         if not len(start):
@@ -223,7 +226,7 @@ def _runs(batches: Iterator[pa.RecordBatch], length: int, gram: int, chosen):
     """Of each slice of the chosen texts: the rows, bytes, and of every run its text, start and end in the bytes, start in the text, anchor."""
     for batch in batches:
         own = batch.filter(pa.array(common.passing(batch.column("own"), chosen)))
-        for rows, texts in common.slices(own, "text"):
+        for rows, texts in common.slices(own, "text", _SLICE):
             body, offsets = common.raw(texts)
             text, first, last, h = anchor_runs(body, offsets, length, gram)
             yield rows, body, text, offsets[text] + first, offsets[text] + last + length, first, h.view(np.int64)
