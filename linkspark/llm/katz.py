@@ -40,7 +40,7 @@ from linkspark.llm import common
 K = 5
 FOLDS, FOLD = 7, 2
 #: A block ends with the text that brings it to so many tokens.
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 19
 #: Words and pairs are dealt to as many shards as there are SHARD_TOKENS tokens, MIN_SHARDS at least.
 SHARD_TOKENS, MIN_SHARDS = 3 << 20, 32
 #: The end of a text: the hash of a blank, which no word is.
