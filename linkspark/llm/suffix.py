@@ -2,7 +2,8 @@
 
 Every LENGTH-byte string has an anchor: the leftmost smallest hash among its GRAM-byte grams, which depends
 on its bytes alone. Equal strings have equal anchors, so strings are dealt to shards by anchor: the bytes of all
-strings of a text that one anchor stands for are a context. Contexts are first compared as wholes, by digest: a text
+strings of a text that one anchor stands for are a context. Strings of LENGTH bytes that contain one gram agree in half of their other
+bytes at least to its left or to its right; only contexts with such a side in common with another text go on. These are first compared as wholes, by digest: a text
 whose context also stands in a text with a smaller id loses all of it, and only one context of each kind, from
 the smallest id, goes on, and only where an anchor has several kinds. A shard's
 distinct contexts are concatenated; suffixes are classified, the leftmost-smaller (LMS) substrings
@@ -183,10 +184,10 @@ def permuted_lcp(t: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
 
 # anchors
 
-def anchor_runs(body: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of string starts with one anchor: text number, first and last start (in the text), anchor hash."""
+def anchor_runs(body: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Runs of string starts with one anchor: text number, first and last start (in the text), place (in the bytes) and hash of the anchor."""
     w = length - gram + 1
-    texts, firsts, lasts, hashes = [], [], [], []
+    texts, firsts, lasts, places, hashes = [], [], [], [], []
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     for base in range(0, max(1, len(body)), _CHUNK):
         part = body[base : base + _CHUNK + length - 1]
@@ -215,36 +216,65 @@ def anchor_runs(body: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gra
         texts.append(text[i])
         firsts.append(start[i] - offsets[text[i]])
         lasts.append(start[j] - offsets[text[i]])
+        places.append(base + at[i])
         hashes.append(h[at[i]])
     if not texts:
         z = np.empty(0, np.int64)
-        return z, z, z, np.empty(0, np.uint64)
-    return np.concatenate(texts), np.concatenate(firsts), np.concatenate(lasts), np.concatenate(hashes)
+        return z, z, z, z, np.empty(0, np.uint64)
+    return np.concatenate(texts), np.concatenate(firsts), np.concatenate(lasts), np.concatenate(places), np.concatenate(hashes)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], length: int, gram: int, chosen):
-    """Of each slice of the chosen texts: the rows, bytes, and of every run its text, start and end in the bytes, start in the text, anchor."""
+    """Of each slice of the chosen texts: the rows, bytes, and of every run its text, start and end in the bytes, start in the text, anchor and the anchor's place."""
     for batch in batches:
         own = batch.filter(pa.array(common.passing(batch.column("own"), chosen)))
         for rows, texts in common.slices(own, "text", _SLICE):
             body, offsets = common.raw(texts)
-            text, first, last, h = anchor_runs(body, offsets, length, gram)
-            yield rows, body, text, offsets[text] + first, offsets[text] + last + length, first, h.view(np.int64)
+            text, first, last, place, h = anchor_runs(body, offsets, length, gram)
+            yield rows, body, text, offsets[text] + first, offsets[text] + last + length, first, h.view(np.int64), place
+
+
+def _met_by(key: np.ndarray, text: np.ndarray, rows: pa.RecordBatch) -> pa.RecordBatch:
+    """The keys of each text, once."""
+    order = np.lexsort((key, text))
+    text, key = text[order], key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
+    return pa.RecordBatch.from_arrays([pa.array(key[new]), rows.column("name").take(pa.array(text[new]))], ["anchor", "name"])
 
 
 def _anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int, chosen) -> Iterator[pa.RecordBatch]:
-    for rows, _, text, _, _, _, h in _runs(batches, length, gram, chosen):
-        order = np.lexsort((h, text))
-        text, h = text[order], h[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(h[new]), rows.column("name").take(pa.array(text[new]))], ["anchor", "name"])
+    for rows, _, text, _, _, _, h, _ in _runs(batches, length, gram, chosen):
+        yield _met_by(h, text, rows)
+
 
+def _sides(body: np.ndarray, start: np.ndarray, stop: np.ndarray, place: np.ndarray, length: int, gram: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Which contexts reach half of a string's other bytes to the left, and to the right, of their anchor; hashes of the anchor with these.
+    Contexts with a string in common have the bytes of one side in common."""
+    left = (length - gram + 1) // 2
+    right = length - gram - left + 1
+    i, j = np.flatnonzero(place - left >= start), np.flatnonzero(place + gram + right <= stop)
+    sides = (i, place[i] - left, place[i] + gram), (j, place[j], place[j] + gram + right)
+    return [(k, common.span_hashes(body, a, b).view(np.int64) ^ side) for side, (k, a, b) in enumerate(sides)]
 
-def _contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int, chosen, shared) -> Iterator[pa.RecordBatch]:
-    """The contexts of the anchors that pass, by digest."""
-    for rows, body, text, start, stop, first, h in _runs(batches, length, gram, chosen):
+
+def _anchor_sides(batches: Iterator[pa.RecordBatch], length: int, gram: int, chosen, shared) -> Iterator[pa.RecordBatch]:
+    """The sides of the anchors that pass."""
+    for rows, body, text, start, stop, _, h, place in _runs(batches, length, gram, chosen):
         good = common.passing(h, shared)
+        text = text[good]
+        (i, x), (j, y) = _sides(body, start[good], stop[good], place[good], length, gram)
+        yield _met_by(np.concatenate([x, y]), np.concatenate([text[i], text[j]]), rows)
+
+
+def _contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int, chosen, shared, sided) -> Iterator[pa.RecordBatch]:
+    """The contexts of the anchors that pass with one of their sides, by digest."""
+    for rows, body, text, start, stop, first, h, place in _runs(batches, length, gram, chosen):
+        good = np.flatnonzero(common.passing(h, shared))
+        keep = np.zeros(len(good), bool)
+        for k, side in _sides(body, start[good], stop[good], place[good], length, gram):
+            keep[k[common.passing(side, sided)]] = True
+        good = good[keep]
         text, start, stop, first, h = text[good], start[good], stop[good], first[good], h[good]
         owner = pa.array(text)
         yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(common.span_hashes(body, start, stop).view(np.int64)), rows.column("rank").take(owner), rows.column("cls").take(owner), pa.array(first), pa.array(stop - start)], ["anchor", "digest", "rank", "cls", "first", "size"])
@@ -252,7 +282,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int, chosen,
 
 def _pieces(batches: Iterator[pa.RecordBatch], length: int, gram: int, chosen, wanted, split) -> Iterator[pa.RecordBatch]:
     """The bytes of the contexts that pass, once for each text; of hot anchors, each string by itself."""
-    for rows, body, text, start, stop, _, h in _runs(batches, length, gram, chosen):
+    for rows, body, text, start, stop, _, h, _ in _runs(batches, length, gram, chosen):
         digest, rank = common.span_hashes(body, start, stop).view(np.int64), rows.column("rank").to_numpy()[text]
         take = np.flatnonzero(common.passing(h ^ digest ^ rank, wanted))
         take = take[np.unique(np.stack([text[take], h[take], digest[take]], 1), axis=0, return_index=True)[1]] if len(take) else take
@@ -363,14 +393,21 @@ def _passing(batches: Iterator[pa.RecordBatch], touched, wanted: bool) -> Iterat
         yield batch.filter(pa.array(common.passing(batch.column("own"), touched) == wanted))
 
 
+def _of_two(keys: DataFrame) -> DataFrame:
+    """The keys that two texts or more have."""
+    return keys.groupBy("anchor").agg(F.min("name").alias("lo"), F.max("name").alias("hi")).filter("lo <> hi").select(F.col("anchor").alias("h"))
+
+
 def covered_spans(rows: DataFrame, classes: DataFrame, *, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> DataFrame:
     """(cls, spans): for each text with any, the places (x, y) of it that smaller ids have.
     rows: cls, rank, text; classes: cls, least (the smallest rank)."""
     chosen = common.bit_filter(classes.select(F.xxhash64("cls", "least").alias("h")))
     texts = rows.select("cls", "rank", "text", F.xxhash64("cls", "rank").alias("own"), F.col("cls.a").alias("name"))
     anchors = texts.mapInArrow(lambda it: _anchors(it, length, gram, chosen), "anchor long, name long")
-    shared = common.bit_filter(anchors.groupBy("anchor").agg(F.min("name").alias("lo"), F.max("name").alias("hi")).filter("lo <> hi").select(F.col("anchor").alias("h")))
-    met = texts.mapInArrow(lambda it: _contexts(it, length, gram, chosen, shared), "anchor long, digest long, rank long, cls struct<a:long,b:long>, first long, size long")
+    shared = common.bit_filter(_of_two(anchors))
+    sides = texts.mapInArrow(lambda it: _anchor_sides(it, length, gram, chosen, shared), "anchor long, name long")
+    sided = common.bit_filter(_of_two(sides))
+    met = texts.mapInArrow(lambda it: _contexts(it, length, gram, chosen, shared, sided), "anchor long, digest long, rank long, cls struct<a:long,b:long>, first long, size long")
     met = common.materialize(met, "contexts")
     kinds = common.materialize(met.groupBy("anchor", "digest").agg(F.min("rank").alias("least"), F.max("rank").alias("most")), "kinds")
     several = kinds.groupBy("anchor").agg((F.min("least") < F.max("most")).alias("met"), F.count("*").alias("n")).filter("met and n > 1")
@@ -387,7 +424,7 @@ def covered_spans(rows: DataFrame, classes: DataFrame, *, length: int = LENGTH,
     cut = met.join(fate.select("anchor", "digest", "least", "parts"), ["anchor", "digest"]).select("cls", "first", F.explode(F.when(F.col("rank") > F.col("least"), whole).otherwise(F.col("parts"))).alias("part"))
     cut = cut.select("cls", F.struct((F.col("first") + F.col("part.a")).alias("x"), (F.col("first") + F.col("part.b")).alias("y")).alias("span"))
     spans = common.materialize(cut.groupBy("cls").agg(F.collect_set("span").alias("spans")), "spans")
-    for shown in (chosen, shared, wanted, split):
+    for shown in (chosen, shared, sided, wanted, split):
         shown.destroy()
     common.discard(met, kinds, several, partly)
     return spans
