@@ -154,14 +154,15 @@ def suffix_array(t: np.ndarray, sigma: int = 257) -> np.ndarray:
 
 
 def permuted_lcp(t: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """For each place, the bytes its suffix shares with the one before it in order (right up to `most`)."""
+    """For each place, the bytes its suffix shares with the one before it in order (right up to `most`, less the places since
+    the last separator, 0: a value is carried on no further, as shared bytes may run over many contexts)."""
     n = len(t)
     phi = np.full(n, -1, np.int32)
     phi[order[1:]] = order[:-1]
     place = np.arange(n, dtype=np.int32)
     plain = np.zeros(n, bool)
     inner = (place > 0) & (phi > 0)
-    plain[inner] = t[place[inner] - 1] == t[phi[inner] - 1]
+    plain[inner] = (t[place[inner] - 1] == t[phi[inner] - 1]) & (t[place[inner] - 1] != 0)
     plain &= phi >= 0
     own = np.flatnonzero(~plain & (phi >= 0))
     length = np.zeros(len(own), np.int32)

@@ -203,6 +203,21 @@ def test_suffix_dedup(docs, rows):
         assert (r.n_bytes, r.n_removed, r.n_spans) == (len(b), gone.sum(), (gone & ~np.concatenate([[False], gone[:-1]])).sum() if len(b) else 0)
 
 
+def test_shard_minima_over_separators():
+    """Contexts that follow each other alike share more than twice LENGTH bytes over a separator."""
+    rng = random.Random(8)
+    make = lambda n: bytes(rng.randrange(97, 101) for _ in range(n))
+    ends, starts = [make(60) for _ in range(4)], [make(60) for _ in range(4)]
+    contexts = [x for _ in range(30) for k in range(4) for x in (make(rng.randrange(1, 16)) + ends[k], starts[k] + make(rng.randrange(1, 16)))]
+    ranks = [rng.randrange(1000) for _ in contexts]
+    least = {}
+    for x, r in zip(contexts, ranks, strict=True):
+        for k in range(len(x) - 49):
+            least[x[k : k + 50]] = min(r, least.get(x[k : k + 50], r))
+    for x, own in zip(contexts, suffix.shard_minima(contexts, ranks), strict=True):
+        assert own.tolist() == [least[x[k : k + 50]] for k in range(len(x) - 49)]
+
+
 def test_katz(docs, rows):
     toks = {i: [x.translate(LOW) for x in words(r[1])] + ["</s>"] for i, r in enumerate(rows)}
     train = [i for i in toks if zlib.crc32(str(i).encode()) % 7 != 2]
