@@ -2,9 +2,9 @@
 
 Every LENGTH-byte string has an anchor: the leftmost smallest hash among its GRAM-byte grams, which depends
 on its bytes alone. Equal strings have equal anchors, so strings are dealt to shards by anchor: the bytes of all
-strings of a text that one anchor stands for are a context. Contexts are first compared as wholes, by digest: a text
-whose context also stands in a text with a smaller id loses all of it, and only one context of each kind, from
-the smallest id, goes on, and only where an anchor has several kinds. A shard's
+strings of a text that one anchor stands for are a context. Contexts are first compared as wholes, by digest, those of
+an anchor together: a text whose context also stands in a text with a smaller id loses all of it, and only one context of
+each kind, from the smallest id, goes on, and only where an anchor has several kinds, from several ids. A shard's
 distinct contexts are concatenated; suffixes are classified, the leftmost-smaller (LMS) substrings
 sorted by induction and named, the string of their names sorted in the same way, recursively, and the array induced
 from it (vectorised, linear in the shard). Permuted common prefixes are computed at the irreducible
@@ -12,14 +12,15 @@ places and carried on elsewhere; runs of suffixes that share LENGTH bytes give t
 of each string, and a string that a smaller id has is cut from the others, all of it.
 
 Anchors with more than HOT kinds of contexts (the edges of a passage that many texts have) are dealt string by string
-instead. Which anchors, contexts and texts matter is told by filters of fixed size; what these let pass
-needlessly costs time only. Texts that several rows have are represented by the smallest id; the others are
+instead. Which anchors, contexts and texts matter is told by filters, which grow with the input up to MOST_BITS; what
+these let pass needlessly costs time only. Texts that several rows have are represented by the smallest id; the others are
 covered throughout.
 
 Edge cases: null and empty texts have no bytes and nothing removed; texts under LENGTH bytes lose nothing.
 Rows with the same id never cut each other. A null id counts as the largest. Repeated rows get the same
 result. Cuts may fall inside a UTF-8 character; kept bytes are returned as binary. Other columns are not
-looked at. Texts are told apart by 128 bits of hashes, contexts by 64 bits besides those of their anchor.
+looked at. Texts are told apart by 128 bits of hashes (by 64 where their places are collected), contexts by 64 bits besides those
+of their anchor.
 """
 
 from __future__ import annotations
@@ -42,6 +43,9 @@ HOT = 1 << 14
 _CHUNK = 1 << 21
 #: Anchors are sought in slices of about so many bytes: an array of their hashes is eight times that.
 _SLICE = 1 << 17
+#: Anchors travel in 2^PACK_BITS packs, of 32 bits each besides.
+PACK_BITS = 12
+_CONTEXT = ["anchor", "digest", "rank", "own", "first", "size"]
 _LAST = (1 << 63) - 1
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -234,12 +238,52 @@ def _runs(batches: Iterator[pa.RecordBatch], length: int, gram: int, chosen):
 
 
 def _anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int, chosen) -> Iterator[pa.RecordBatch]:
-    for rows, _, text, _, _, _, h in _runs(batches, length, gram, chosen):
+    """The anchors of the chosen texts, once for each text, in packs: PACK_BITS name the pack, 32 bits are in it, sorted."""
+
+    def full() -> pa.RecordBatch:
+        value = np.sort(np.concatenate(held))
+        pack = (value >> np.uint64(32)).astype(np.int32)
+        starts = np.flatnonzero(np.concatenate([[True], pack[1:] != pack[:-1]]))
+        low = value.astype("<u4").tobytes()
+        ends = [*starts[1:].tolist(), len(value)]
+        return pa.RecordBatch.from_arrays([pa.array(pack[starts]), pa.array([low[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends, strict=True)], pa.binary())], ["pack", "low"])
+
+    held, many = [], 0
+    for _, _, text, _, _, _, h in _runs(batches, length, gram, chosen):
+        if not len(h):
+            continue
         order = np.lexsort((h, text))
         text, h = text[order], h[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(h[new]), rows.column("name").take(pa.array(text[new]))], ["anchor", "name"])
+        held.append(h[new].view(np.uint64) & np.uint64((1 << (32 + PACK_BITS)) - 1))
+        many += len(held[-1])
+        if many >= 1 << 21:
+            yield full()
+            held, many = [], 0
+    if many:
+        yield full()
+
+
+def _twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by pack: what stands in a pack twice or more."""
+
+    def full() -> pa.RecordBatch:
+        value = np.sort(np.concatenate(held))
+        again = value[1:][value[1:] == value[:-1]]
+        again = again[np.concatenate([[True], again[1:] != again[:-1]])] if len(again) else again
+        return pa.RecordBatch.from_arrays([pa.array(again.astype(np.int64))], ["h"])
+
+    held, current = [], None
+    for batch in batches:
+        for pack, low in zip(batch.column("pack").to_pylist(), batch.column("low"), strict=True):
+            if pack != current and held:
+                yield full()
+                held = []
+            current = pack
+            held.append(np.frombuffer(low.as_py(), "<u4"))
+    if held:
+        yield full()
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int, chosen, shared) -> Iterator[pa.RecordBatch]:
@@ -248,16 +292,60 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int, chosen,
         good = common.passing(h, shared)
         text, start, stop, first, h = text[good], start[good], stop[good], first[good], h[good]
         owner = pa.array(text)
-        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(common.span_hashes(body, start, stop).view(np.int64)), rows.column("rank").take(owner), rows.column("cls").take(owner), pa.array(first), pa.array(stop - start)], ["anchor", "digest", "rank", "cls", "first", "size"])
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(common.span_hashes(body, start, stop).view(np.int64)), rows.column("rank").take(owner), rows.column("own").take(owner), pa.array(first), pa.array(stop - start)], _CONTEXT)
+
+
+def _settle(batches: Iterator[pa.RecordBatch], hot: int, few: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Contexts sorted by anchor, digest and rank. Of each context that a smaller id has too: the place (own, x, y).
+    Of anchors that have several kinds of contexts, from several ids: kinds (h, by the smallest id), and the hot anchors (split)."""
+
+    def settled(anchor, digest, rank, own, first, size, ended: bool):
+        """The rows told, and the kinds of the last anchor (unless ended), which may go on."""
+        step = np.ones(len(anchor), bool)
+        step[1:] = anchor[1:] != anchor[:-1]
+        new = step.copy()
+        new[1:] |= digest[1:] != digest[:-1]
+        kind = np.flatnonzero(new)
+        cut = np.flatnonzero(rank > np.repeat(rank[kind], np.diff(np.append(kind, len(anchor)))))
+        group = np.flatnonzero(step[kind])  # where anchors begin among the kinds
+        many = np.diff(np.append(group, len(kind)))
+        going = (np.maximum.reduceat(rank[kind], group) > np.minimum.reduceat(rank[kind], group)) & (ended | (np.arange(len(group)) < len(group) - 1))
+        wanted = kind[np.repeat(going, many)]
+        split = anchor[kind[group[going & (many > hot)]]]
+        parts = [own[cut], first[cut], first[cut] + size[cut]], [(anchor ^ digest ^ rank)[wanted]], [split]
+        columns, total = [], len(cut) + len(wanted) + len(split)
+        for at, own_part in zip((0, len(cut), len(cut) + len(wanted)), parts, strict=True):
+            for x in own_part:
+                columns.append(pa.concat_arrays([pa.nulls(at, pa.int64()), pa.array(x), pa.nulls(total - at - len(x), pa.int64())]))
+        told = pa.RecordBatch.from_arrays(columns, ["own", "x", "y", "h", "split"])
+        return told, [x[kind[group[-1] :]] for x in (anchor, digest, rank, own, first, size)]
+
+    held, rows, least = [], 0, few
+    for batch in batches:
+        held.append([batch.column(c).to_numpy() for c in _CONTEXT])
+        rows += batch.num_rows
+        if rows >= least:
+            told, rest = settled(*map(np.concatenate, zip(*held, strict=True)), False)
+            held, rows = [rest], len(rest[0])
+            least = max(few, 2 * rows)
+            yield told
+    if rows:
+        yield settled(*map(np.concatenate, zip(*held, strict=True)), True)[0]
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], length: int, gram: int, chosen, wanted, split) -> Iterator[pa.RecordBatch]:
-    """The bytes of the contexts that pass, once for each text; of hot anchors, each string by itself."""
-    for rows, body, text, start, stop, _, h in _runs(batches, length, gram, chosen):
-        digest, rank = common.span_hashes(body, start, stop).view(np.int64), rows.column("rank").to_numpy()[text]
+    """The bytes of the contexts that pass, once for each text, with the places (first, more) where it has them; of hot
+    anchors, each string by itself."""
+    for rows, body, text, start, stop, first, h in _runs(batches, length, gram, chosen):
+        digest, rank, own = common.span_hashes(body, start, stop).view(np.int64), rows.column("rank").to_numpy()[text], rows.column("own").to_numpy()[text]
         take = np.flatnonzero(common.passing(h ^ digest ^ rank, wanted))
-        take = take[np.unique(np.stack([text[take], h[take], digest[take]], 1), axis=0, return_index=True)[1]] if len(take) else take
-        start, stop, h, digest, rank = start[take], stop[take], h[take], digest[take], rank[take]
+        if not len(take):
+            continue
+        take = take[np.lexsort((first[take], digest[take], h[take], text[take]))]
+        new = np.ones(len(take), bool)
+        new[1:] = np.any([x[take[1:]] != x[take[:-1]] for x in (text, h, digest)], axis=0)
+        groups, take = np.split(first[take], np.flatnonzero(new)[1:]), take[new]
+        start, stop, first, h, rank, own = start[take], stop[take], first[take], h[take], rank[take], own[take]
         hot = common.passing(h, split)
         many = np.where(hot, stop - start - length + 1, 1)
         row = np.repeat(np.arange(len(take)), many)
@@ -269,7 +357,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], length: int, gram: int, chosen, w
         for a in range(0, len(row), 1 << 14):
             z = slice(a, a + (1 << 14))
             piece = pa.array([data[x:y] for x, y in zip(start[z].tolist(), stop[z].tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(key[z]), pa.array(h[row[z]]), pa.array(digest[row[z]]), pa.array(rank[row[z]]), pa.array(at[z]), piece], ["key", "anchor", "digest", "rank", "at", "piece"])
+            more = pa.array([(groups[r][1:] + k).tolist() if len(groups[r]) > 1 else None for r, k in zip(row[z].tolist(), at[z].tolist(), strict=True)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(key[z]), pa.array(rank[row[z]]), pa.array(own[row[z]]), pa.array(first[row[z]] + at[z]), more, piece], ["key", "rank", "own", "first", "more", "piece"])
 
 
 def shard_minima(contexts: list[bytes], ranks: list[int], length: int = LENGTH) -> list[np.ndarray]:
@@ -294,30 +383,30 @@ def shard_minima(contexts: list[bytes], ranks: list[int], length: int = LENGTH)
 
 
 def _resolve(batches: Iterator[pa.RecordBatch], length: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key, piece and rank: what of each context smaller ids have, counted from the context's start.
+    """Rows sorted by key, piece and rank: the places (own, x, y) of what smaller ids have of each context.
     A key's pieces stay in one shard; the later rows of a piece are settled as they come."""
-    names = ["anchor", "digest", "rank", "a", "b"]
     pieces: list[bytes] = []
-    rows: list[tuple[int, int, int, int]] = []
+    rows: list[tuple[int, int, int, list[int] | None]] = []
     held, start, current, before = 0, 0, None, None
     done: list[tuple] = []
 
     def full() -> pa.RecordBatch:
-        columns = list(zip(*done, strict=True)) or [()] * 5
+        columns = list(zip(*done, strict=True)) or [()] * 3
         done.clear()
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names)
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["own", "x", "y"])
 
     def flush() -> None:
         if len(pieces) > 1:
-            least = shard_minima(pieces, [r[2] for r in rows], length)
-            for (anchor, digest, rank, at), own in zip(rows, least, strict=True):
-                hit = np.flatnonzero(own < rank)
+            least = shard_minima(pieces, [r[0] for r in rows], length)
+            for (rank, own, first, more), own_least in zip(rows, least, strict=True):
+                hit = np.flatnonzero(own_least < rank)
                 if len(hit):
                     for part in np.split(hit, np.flatnonzero(np.diff(hit) > length) + 1):
-                        done.append((anchor, digest, rank, at + int(part[0]), at + int(part[-1]) + length))
+                        for at in (first, *(more or ())):
+                            done.append((own, at + int(part[0]), at + int(part[-1]) + length))
 
     for batch in batches:
-        for key, anchor, digest, rank, at, piece in zip(*[batch.column(c).to_pylist() for c in ("key", "anchor", "digest", "rank", "at", "piece")], strict=True):
+        for key, rank, own, first, more, piece in zip(*[batch.column(c).to_pylist() for c in ("key", "rank", "own", "first", "more", "piece")], strict=True):
             if key != current:
                 if len(pieces) == start + 1:  # nothing to compare it with
                     held -= len(pieces.pop()) + 1
@@ -327,12 +416,13 @@ def _resolve(batches: Iterator[pa.RecordBatch], length: int, most: int) -> Itera
                     pieces, rows, held = [], [], 0
                 current, before, start = key, None, len(pieces)
             if piece == before:
-                if rank > rows[-1][2]:
-                    done.append((anchor, digest, rank, at, at + len(piece)))
+                if rank > rows[-1][0]:
+                    for at in (first, *(more or ())):
+                        done.append((own, at, at + len(piece)))
                     continue
             before = piece
             pieces.append(piece)
-            rows.append((anchor, digest, rank, at))
+            rows.append((rank, own, first, more))
             held += len(piece) + 1
         if len(done) >= 1 << 16:
             yield full()
@@ -340,6 +430,27 @@ def _resolve(batches: Iterator[pa.RecordBatch], length: int, most: int) -> Itera
     yield full()
 
 
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by own and x: of each text the runs that its places make up, touching ones joined."""
+    kind = pa.list_(pa.struct([("x", pa.int64()), ("y", pa.int64())]))
+    names: list[int] = []
+    spans: list[list[dict]] = []
+    for batch in batches:
+        for own, x, y in zip(*[batch.column(c).to_pylist() for c in ("own", "x", "y")], strict=True):
+            if not names or own != names[-1]:
+                if len(names) >= 1 << 12:
+                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(spans, kind)], ["own", "spans"])
+                    names, spans = [], []
+                names.append(own)
+                spans.append([{"x": x, "y": y}])
+            elif x > (last := spans[-1][-1])["y"]:
+                spans[-1].append({"x": x, "y": y})
+            else:
+                last["y"] = max(last["y"], y)
+    if names:
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(spans, kind)], ["own", "spans"])
+
+
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, texts in common.slices(batch, "text"):
@@ -365,32 +476,27 @@ def _passing(batches: Iterator[pa.RecordBatch], touched, wanted: bool) -> Iterat
 
 
 def covered_spans(rows: DataFrame, classes: DataFrame, *, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> DataFrame:
-    """(cls, spans): for each text with any, the places (x, y) of it that smaller ids have.
-    rows: cls, rank, text; classes: cls, least (the smallest rank)."""
-    chosen = common.bit_filter(classes.select(F.xxhash64("cls", "least").alias("h")))
-    texts = rows.select("cls", "rank", "text", F.xxhash64("cls", "rank").alias("own"), F.col("cls.a").alias("name"))
-    anchors = texts.mapInArrow(lambda it: _anchors(it, length, gram, chosen), "anchor long, name long")
-    shared = common.bit_filter(anchors.groupBy("anchor").agg(F.min("name").alias("lo"), F.max("name").alias("hi")).filter("lo <> hi").select(F.col("anchor").alias("h")))
-    met = texts.mapInArrow(lambda it: _contexts(it, length, gram, chosen, shared), "anchor long, digest long, rank long, cls struct<a:long,b:long>, first long, size long")
-    met = common.materialize(met, "contexts")
-    kinds = common.materialize(met.groupBy("anchor", "digest").agg(F.min("rank").alias("least"), F.max("rank").alias("most")), "kinds")
-    several = kinds.groupBy("anchor").agg((F.min("least") < F.max("most")).alias("met"), F.count("*").alias("n")).filter("met and n > 1")
-    several = common.materialize(several.select("anchor", "n"), "several")
-    triple = F.col("anchor").bitwiseXOR(F.col("digest")).bitwiseXOR(F.col("least"))
-    wanted = common.bit_filter(kinds.join(several, "anchor", "left_semi").select(triple.alias("h")))
-    split = common.bit_filter(several.filter(F.col("n") > hot).select(F.col("anchor").alias("h")))  # a filter of its own: few pass needlessly
-    pieces = texts.mapInArrow(lambda it: _pieces(it, length, gram, chosen, wanted, split), "key long, anchor long, digest long, rank long, at long, piece binary")
+    """(own, spans): for each text with any, by the hash of its cls and rank, the runs (x, y) of it that smaller ids have.
+    rows: cls, rank, text; classes: cls, least (the smallest rank), n_bytes. A filter may let rows pass besides those of classes."""
+    # about one anchor in 14 bytes, a third of them shared
+    bits = common.filter_bits((classes.agg(F.sum("n_bytes")).first()[0] or 0) // 14)
+    chosen = common.bit_filter(classes.select(F.xxhash64("cls", "least").alias("h")), bits)
+    texts = rows.select("rank", "text", F.xxhash64("cls", "rank").alias("own"))
+    anchors = texts.mapInArrow(lambda it: _anchors(it, length, gram, chosen), "pack int, low binary").repartition("pack").sortWithinPartitions("pack")
+    shared = common.bit_filter(anchors.mapInArrow(_twice, "h long"), bits)
+    met = texts.mapInArrow(lambda it: _contexts(it, length, gram, chosen, shared), ", ".join(f"{x} long" for x in _CONTEXT))
+    met = met.repartition("anchor").sortWithinPartitions("anchor", "digest", "rank")
+    settled = common.materialize(met.mapInArrow(lambda it: _settle(it, hot), "own long, x long, y long, h long, split long"), "settled")
+    wanted = common.bit_filter(settled.filter("h is not null").select("h"), bits)
+    split = common.bit_filter(settled.filter("split is not null").select(F.col("split").alias("h")))  # a filter of its own: few pass needlessly
+    pieces = texts.mapInArrow(lambda it: _pieces(it, length, gram, chosen, wanted, split), "key long, rank long, own long, first long, more array<long>, piece binary")
     dealt = pieces.repartition("key").sortWithinPartitions("key", "piece", "rank")
-    partly = dealt.mapInArrow(lambda it: _resolve(it, length, shard_bytes), "anchor long, digest long, rank long, a long, b long")
-    partly = common.materialize(partly.groupBy("anchor", "digest", "rank").agg(F.collect_list(F.struct("a", "b")).alias("parts")).toDF("p", "q", "r", "parts"), "partly")
-    fate = kinds.join(partly, (F.col("anchor") == F.col("p")) & (F.col("digest") == F.col("q")) & (F.col("least") == F.col("r")), "left").filter("least < most or parts is not null")
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("size").alias("b")))
-    cut = met.join(fate.select("anchor", "digest", "least", "parts"), ["anchor", "digest"]).select("cls", "first", F.explode(F.when(F.col("rank") > F.col("least"), whole).otherwise(F.col("parts"))).alias("part"))
-    cut = cut.select("cls", F.struct((F.col("first") + F.col("part.a")).alias("x"), (F.col("first") + F.col("part.b")).alias("y")).alias("span"))
-    spans = common.materialize(cut.groupBy("cls").agg(F.collect_set("span").alias("spans")), "spans")
+    partly = common.materialize(dealt.mapInArrow(lambda it: _resolve(it, length, shard_bytes), "own long, x long, y long"), "partly")
+    places = settled.filter("own is not null").select("own", "x", "y").unionAll(partly)
+    spans = common.materialize(places.repartition("own").sortWithinPartitions("own", "x").mapInArrow(_merge, "own long, spans array<struct<x:bigint,y:bigint>>"), "spans")
     for shown in (chosen, shared, wanted, split):
         shown.destroy()
-    common.discard(met, kinds, several, partly)
+    common.discard(settled, partly)
     return spans
 
 
@@ -401,9 +507,11 @@ def dedupe_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     text = F.coalesce(F.col(text_col), F.lit(""))
     cls = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("rank"), cls.alias("cls"), F.col(text_col).alias("text"))
-    classes = common.materialize(rows.groupBy("cls").agg(F.min("rank").alias("least"), F.count("*").alias("copies")), "classes")
+    classes = rows.groupBy("cls").agg(F.min("rank").alias("least"), F.count("*").alias("copies"), F.max(F.octet_length(text)).alias("n_bytes"))
+    classes = common.materialize(classes, "classes")
     spans = covered_spans(rows, classes, length=length, gram=gram, shard_bytes=shard_bytes, hot=hot)
-    fate = common.materialize(classes.join(spans, "cls", "left").filter("copies > 1 or spans is not null"), "fates")
+    fate = classes.drop("n_bytes").withColumn("own", F.xxhash64("cls", "least")).join(spans, "own", "left").drop("own")
+    fate = common.materialize(fate.filter("copies > 1 or spans is not null"), "fates")
     common.discard(classes, spans)
     touched = common.bit_filter(fate.select(F.xxhash64("cls").alias("h")))
     rows = rows.withColumn("own", F.xxhash64("cls"))

@@ -10,6 +10,7 @@ import zipfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -203,6 +204,39 @@ def test_suffix_dedup(docs, rows):
         assert (r.n_bytes, r.n_removed, r.n_spans) == (len(b), gone.sum(), (gone & ~np.concatenate([[False], gone[:-1]])).sum() if len(b) else 0)
 
 
+def test_suffix_filters_let_pass(spark):
+    """What a filter lets pass needlessly (here: the larger id of a text) takes nothing from others; filters grow with the input."""
+    text = lambda k: "".join(random.Random(k).choices("cdefgh ", k=300))
+    shared, loops = text(1), "ab" * 200
+    data = [(1, text(2) + shared), (2, text(3) + shared), (3, text(2) + shared), (4, text(4)), (5, text(4)), (6, loops + text(5)), (7, text(6) + loops)]
+    cls = F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
+    rows = spark.createDataFrame(data, "rank long, text string").select(cls.alias("cls"), "rank", "text")
+    classes = rows.select("cls", F.col("rank").alias("least"), F.octet_length("text").alias("n_bytes"))  # every row passes
+    named = rows.select("rank", F.xxhash64("cls", "rank").alias("own"))
+    got = {r.rank: [tuple(x) for x in r.spans] for r in suffix.covered_spans(rows, classes).join(named, "own").collect()}
+    assert got.pop(7) == [(300, 700)]
+    assert got == {2: [(300, 600)], 3: [(0, 600)], 5: [(0, 300)]}
+    assert [common.filter_bits(n) for n in (0, 1 << 26, (1 << 26) + 1, 1 << 40)] == [1 << 26, 1 << 26, 1 << 27, common.MOST_BITS]
+
+
+def test_contexts_are_settled_in_any_batches():
+    """Kinds and cuts are the same however an anchor's contexts fall into batches."""
+    rng = random.Random(5)
+    data = sorted((rng.randrange(4) * 7919, rng.randrange(6), rng.randrange(8), k, rng.randrange(9), 60) for k in range(400))
+    least, kinds = {}, {}
+    for anchor, digest, rank, *_ in data:
+        least.setdefault((anchor, digest), rank)
+        kinds.setdefault(anchor, set()).add(digest)
+    want = sorted((own, first, first + size) for anchor, digest, rank, own, first, size in data if rank > least[anchor, digest])
+    several = {a for a, d in kinds.items() if len({least[a, x] for x in d}) > 1}
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], suffix._CONTEXT)
+    for n in (1, 7, 400):
+        got = [r for b in suffix._settle((batch(data[k : k + n]) for k in range(0, 400, n)), 3, 1) for r in b.to_pylist()]
+        assert sorted((r["own"], r["x"], r["y"]) for r in got if r["own"] is not None) == want
+        assert sorted(r["h"] for r in got if r["h"] is not None) == sorted(a ^ d ^ r for (a, d), r in least.items() if a in several)
+        assert {r["split"] for r in got} - {None} == {a for a in several if len(kinds[a]) > 3}
+
+
 def test_shard_minima_over_separators():
     """Contexts that follow each other alike share more than twice LENGTH bytes over a separator."""
     rng = random.Random(8)
