@@ -6,8 +6,10 @@ import io
 import math
 import random
 import re
+import tracemalloc
 import zipfile
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -346,6 +348,22 @@ def test_jaccard(docs, rows, spark):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs, small_list=small).collect()} == want
 
 
+def test_shingles_take_little_memory():
+    """Arrays of the shingle steps are made for a small slice of texts at a time, whatever the batch."""
+    rng = random.Random(9)
+    texts = [" ".join(str(rng.randrange(500)) for _ in range(700)) for _ in range(1500)]  # 4 MB
+    shared = SimpleNamespace(value=np.zeros(jaccard.SKETCH, np.uint8))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1500)), pa.array(range(1500)), pa.array(texts)], ["doc_id", "th", "text"])
+    common._power_tables(1)
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in jaccard._prefixes(iter([batch]), 5, 80, shared)) == 1500
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 24 << 20
+
+
 def test_language(spark):
     rng = random.Random(6)
     kinds = {"aa": ["the", "and", "ing", "tion"], "bb": ["der", "und", "sch", "ung"], "cc": ["que", "eau", "les", "oui"]}
