@@ -83,5 +83,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = common.materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
         if before is not None:
             common.discard(before)
+        common.release(spark)
         before = docs
     return docs
