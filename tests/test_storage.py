@@ -9,8 +9,8 @@ from linkspark.sources import storage
 
 def trimmed(spark) -> float:
     """MB that the driver's JVM had freed and still held."""
-    n, unit = re.search(r"\(([+-]?\d+)([KMG])\)", storage.trim(spark)).groups()
-    return -int(n) * {"K": 1 / 1024, "M": 1, "G": 1024}[unit]
+    n, unit = re.search(r"\(([+-]?\d+)([BKMG])\)", storage.trim(spark)).groups()
+    return -int(n) * {"B": 1e-6, "K": 1 / 1024, "M": 1, "G": 1024}[unit]
 
 
 def fill(spark):
