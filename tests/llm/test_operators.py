@@ -348,6 +348,19 @@ def test_jaccard(docs, rows, spark):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs, small_list=small).collect()} == want
 
 
+def test_shingles_of_few_words():
+    """Orders of the same words, and long words of two letters, are told apart."""
+    count = lambda *texts: [len(set(x)) for x in np.split(*[y if k == 0 else y[1:-1] for k, y in enumerate(jaccard.shingles(common.utf8(pa.array(texts))))])]
+    rng = random.Random(8)
+    texts = ["a b b a w b a a b w", *[" ".join(rng.choices("abc", k=rng.randrange(5, 900))) for _ in range(20)]]
+    assert count(*texts) == [len({tuple(w[i : i + 5]) for i in range(len(w) - 4)}) for w in map(str.split, texts)]
+    one, other = "a", "b"
+    for _ in range(11):
+        one, other = one + other, other + one
+    for pair in (("x y y x", "y x x y"), (one, other)):
+        assert len(set(jaccard.shingles(common.utf8(pa.array(pair)))[0])) == 2
+
+
 def test_shingles_take_little_memory():
     """Arrays of the shingle steps are made for a small slice of texts at a time, whatever the batch."""
     rng = random.Random(9)
