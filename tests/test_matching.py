@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from linkspark.frames import Edges, MissingPackage, Registry, require
 from linkspark.functions import similarity as sim
 from linkspark.functions.text import char_ngrams
-from linkspark.operators import blocking, clustering, features, kernels, matching, review
-from linkspark.plans import api
+from linkspark.operators import blocking, clustering, features, kernels, matching, review, skew
+from linkspark.plans import api, queries
 
 
 def items(spark, values):
@@ -264,3 +264,15 @@ def test_soft_match_marginals(spark):
     assert plan[0, 0] + plan[0, 1] == pytest.approx(0.75, abs=1e-6) and plan[0, 0] + plan[1, 0] == pytest.approx(0.5, abs=1e-6)
     with pytest.raises(Exception, match="too large"):
         matching.soft_match(e, max_cells=3).collect()
+
+
+def test_join_blocks(spark, tmp_path):
+    """Pairs of few keys are dealt out over many tasks, each once."""
+    left = spark.createDataFrame([(k, i) for i in range(90) for k in ("a", "b", None)] + [("c", 1), ("d", 2)], "k string, i long")
+    right = spark.createDataFrame([("a", j) for j in range(70)] + [("c", 5), ("c", 6), (None, 7)], "k string, j long")
+    got = skew.join_blocks(left, right, ["k"], side=8)
+    assert sorted((r.k, r.i, r.j) for r in got.collect()) == sorted((r.k, r.i, r.j) for r in left.join(right, "k").collect())
+    people = [(i, f"Customer#{i:09d}", 1, float(i), "BUILDING") for i in range(2600)]
+    spark.createDataFrame(people, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    pairs = queries.customer_scores(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in pairs) == 2600 * 2599 // 2 and max(r["count"] for r in pairs) <= 0.8 * sum(r["count"] for r in pairs)
