@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from linkspark.frames import Edges, MissingPackage, Registry, require
 from linkspark.functions import similarity as sim
 from linkspark.functions.text import char_ngrams
-from linkspark.operators import blocking, clustering, features, kernels, matching, review, skew
+from linkspark.operators import blocking, clustering, features, kernels, matching, review, skew, vectors
 from linkspark.plans import api, queries
 
 
@@ -276,3 +276,33 @@ def test_join_blocks(spark, tmp_path):
     spark.createDataFrame(people, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
     pairs = queries.customer_scores(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in pairs) == 2600 * 2599 // 2 and max(r["count"] for r in pairs) <= 0.8 * sum(r["count"] for r in pairs)
+
+
+def _odd_vectors(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 6)], int(i % 3)) for i in range(90)]
+    rows += [(i + 100, rows[4][1], 1) for i in range(12)] + [(200, [0.0] * 6, 1), (201, [1e200] * 6, 1), (202, [0.5] * 6, None)]
+    return spark.createDataFrame(rows, "id long, item array<double>, label int")
+
+
+def test_vectors_in_blocks(spark, monkeypatch):
+    """Scores of pairs and neighbours in blocks are those of the expressions, with ties, zero and huge vectors; pairs are dealt over many tasks."""
+    for name, value in (("LEAST", 16), ("SLICE", 64), ("_AGAIN", 7)):
+        monkeypatch.setattr(vectors, name, value)
+    monkeypatch.setattr(vectors._dealt, "__defaults__", (16,))
+    v = _odd_vectors(spark)
+    a, b = v.selectExpr("id as i", "item as x", "label"), v.selectExpr("id as j", "item as y", "label")
+    pairs = a.join(b, "label").filter("i < j")
+    for metric in vectors.METRICS:
+        want = pairs.select("i", "j", F.round(sim.comparators.resolve(metric)(F.col("x"), F.col("y")), 6).alias("score"))
+        got = vectors.scored_within(v, "label", metric)
+        assert found(got, "i", "j", "score") == found(want, "i", "j", "score")
+        assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+    for other in (None, v.filter("id % 2 = 0").withColumn("id", F.col("id") + 1000)):
+        plain = blocking.brute_knn_blocking(3, sim.cosine())(v, other)
+        assert found(blocking.brute_knn_blocking(3)(v, other)) == found(plain)
+    results = []
+    for sparse in (0, 1 << 40):
+        monkeypatch.setattr(blocking, "SPARSE", sparse)
+        results.append(found(blocking.ann_blocking(3)(v)))
+    assert results[0] == results[1]
