@@ -16,11 +16,15 @@ from pyspark.sql import functions as F
 from linkspark.frames import Edges, Registry
 from linkspark.functions import text
 from linkspark.functions.similarity import comparators
+from linkspark.operators.vectors import nearest
+from linkspark.sources.storage import materialize
 
 blockers = Registry("blocker")
 
 #: MinHash permutes hashes modulo this.
 PRIME = (1 << 31) - 1
+#: A pair that is looked up by a bucket costs about as much as this many pairs in blocks of vectors.
+SPARSE = 64
 
 
 def _sides(a: DataFrame, b: DataFrame | None, *extra: Column) -> tuple[DataFrame, DataFrame, bool]:
@@ -97,8 +101,6 @@ def sorted_neighborhood(window: int = 3, sort_key: Callable[[Column], Column] |
 
 def number_rows(df: DataFrame, by: list[str], name: str) -> DataFrame:
     """Dense numbers from 0 in the order of `by` (a total order), without a single-task window."""
-    from linkspark.sources.storage import materialize
-
     part = materialize(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__part", F.spark_partition_id()), "numbered")
     within = F.row_number().over(Window.partitionBy("__part").orderBy(*by))
     counts = part.groupBy("__part").count()  # one row a partition
@@ -115,43 +117,62 @@ def top_k(scores: DataFrame, k: int, sense: str = "maximize") -> DataFrame:
 @blockers.add("brute_knn")
 def brute_knn_blocking(k: int = 5, similarity: Callable | None = None):
     """Exact k nearest of each item by cosine (items: arrays). Self-joins leave out the item itself and may name a pair twice."""
-    compare = similarity or comparators.resolve("cosine")
 
     def block(a: DataFrame, b: DataFrame | None = None) -> DataFrame:
+        if similarity is None:
+            near = nearest(a, b, k, top_k)
+            return near.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")) if b is None else near.select("i", "j")
         left = a.select(F.col("id").alias("i"), F.col("item").alias("x"))
         right = (a if b is None else b).select(F.col("id").alias("j"), F.col("item").alias("y"))
         pairs = left.crossJoin(right)
         if b is None:
             pairs = pairs.filter("i <> j")
-        near = top_k(pairs.select("i", "j", compare(F.col("x"), F.col("y")).alias("score")), k)
+        near = top_k(pairs.select("i", "j", similarity(F.col("x"), F.col("y")).alias("score")), k)
         return near.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")) if b is None else near.select("i", "j")
 
     return block
 
 
-def ann_candidates(a: DataFrame, b: DataFrame | None = None, tables: int = 24, rows: int = 4, width: float = 0.4, seed: int = 3) -> DataFrame:
-    """Pairs (i, j) that meet: in one of `tables`, all of its `rows` random projections fall into the same buckets of `width`."""
+def ann_bands(a: DataFrame, b: DataFrame | None = None, tables: int = 24, rows: int = 4, width: float = 0.4, seed: int = 3) -> tuple[DataFrame, DataFrame]:
+    """id, item, bands of either side: for each of `tables`, a hash of the buckets of `width` that its `rows` random projections fall into."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
     from linkspark.functions.similarity import l2_normalize
 
     vec = array_to_vector(l2_normalize(F.col("item"))).alias("vec")
-    left, right = a.select("id", vec), (a if b is None else b).select("id", vec)
+    left, right = a.select("id", "item", vec), (a if b is None else b).select("id", "item", vec)
     model = BucketedRandomProjectionLSH(inputCol="vec", outputCol="hashes", bucketLength=width, numHashTables=tables * rows, seed=seed).fit(left)
-    band = lambda t: F.xxhash64(F.slice(F.transform("hashes", lambda h: h.cast("string")), t * rows + 1, F.lit(rows)))
-    side = lambda df, n: model.transform(df).select(F.col("id").alias(n), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), band)).alias("t", "h"))
-    met = side(left, "i").join(side(right, "j"), ["t", "h"]).select("i", "j").distinct()
+    band = lambda t: F.xxhash64(F.transform(F.slice("hashes", t * rows + 1, F.lit(rows)), lambda h: h.cast("string")))
+    side = lambda df: model.transform(df).select("id", "item", F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), band).alias("bands"))
+    return side(left), side(right)
+
+
+def ann_candidates(a: DataFrame, b: DataFrame | None = None, **options) -> DataFrame:
+    """Pairs (i, j) that meet: they have one of their bands (ann_bands, with its options) in common."""
+    left, right = (x.select(F.col("id").alias(n), F.posexplode("bands").alias("t", "h")) for x, n in zip(ann_bands(a, b, **options), "ij", strict=True))
+    met = left.join(right, ["t", "h"]).select("i", "j").distinct()
     return met.filter("i <> j") if b is None else met
 
 
 @blockers.add("ann")
 def ann_blocking(k: int = 5, **options):
-    """Approximate k nearest by cosine: the best among those that meet in a bucket of random projections (ann_candidates)."""
+    """Approximate k nearest by cosine: the best among those that meet in a bucket of random projections (ann_candidates).
+
+    Where the buckets hold so many that going through them would cost more than all pairs in blocks (SPARSE), the same candidates are found in blocks.
+    """
 
     def block(a: DataFrame, b: DataFrame | None = None) -> DataFrame:
-        left, right = a.select("id", "item"), (a if b is None else b).select("id", "item")
-        met = ann_candidates(a, b, **options)
+        left, right = ann_bands(a, b, **options)
+        left = materialize(left, "bands")
+        right = left if b is None else materialize(right, "bands")
+        count = lambda df, n: df.select(F.posexplode("bands").alias("t", "h")).groupBy("t", "h").agg(F.count("*").alias(n))
+        met = count(left, "x").join(count(right, "y"), ["t", "h"]).agg(F.sum(F.col("x").cast("double") * F.col("y"))).first()[0] or 0.0
+        if met * SPARSE > float(left.count()) * right.count():
+            return nearest(left, None if b is None else right, k, top_k, "bands").select("i", "j")
+        x, y = (df.select(F.col("id").alias(n), F.posexplode("bands").alias("t", "h")) for df, n in ((left, "i"), (right, "j")))
+        met = x.join(y, ["t", "h"]).select("i", "j").distinct()
+        met = met.filter("i <> j") if b is None else met
         scored = met.join(left.select(F.col("id").alias("i"), F.col("item").alias("x")), "i").join(right.select(F.col("id").alias("j"), F.col("item").alias("y")), "j")
         return top_k(scored.select("i", "j", comparators.resolve("cosine")(F.col("x"), F.col("y")).alias("score")), k).select("i", "j")
 
