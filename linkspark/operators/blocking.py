@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from linkspark.frames import Edges, Registry
 from linkspark.functions import text
 from linkspark.functions.similarity import comparators
+from linkspark.operators.skew import join_blocks
 from linkspark.operators.vectors import nearest
 from linkspark.sources.storage import materialize
 
@@ -41,15 +42,48 @@ def all_pairs_blocker():
     return block
 
 
+def _keyed(df: DataFrame, name: str, keys: Callable[[Column], Column]) -> DataFrame:
+    """Distinct (name, k), without null keys."""
+    return df.select(F.col("id").alias(name), F.explode(keys(F.col("item"))).alias("k")).filter("k is not null").distinct()
+
+
+def _met(left: DataFrame, right: DataFrame, alone: bool = False) -> DataFrame:
+    """Pairs (i, j) of the distinct rows (i, k), (j, k) that share a k, each once; alone: those with i < j. Only pairs of which both have
+    several keys can repeat, so only these are made distinct."""
+    own = lambda df, x: df.groupBy(x).agg(F.count("*").alias("n")).filter("n > 1").select(x, F.lit(True).alias(f"many{x}"))
+    several = [own(df, x) for df, x in ((left, "i"), (right, "j"))]
+    if any(x.isEmpty() for x in several):
+        pairs = join_blocks(left, right, ["k"]).select("i", "j")
+        return pairs.filter("i < j") if alone else pairs
+    pairs = join_blocks(left.join(several[0], "i", "left"), right.join(several[1], "j", "left"), ["k"])
+    pairs = pairs.filter("i < j") if alone else pairs
+    twice = F.col("manyi").isNotNull() & F.col("manyj").isNotNull()
+    return pairs.filter(~twice).select("i", "j").unionAll(pairs.filter(twice).select("i", "j").distinct())
+
+
 @blockers.add("key")
 def key_blocking(keys: Callable[[Column], Column] | None = None):
     """Pairs whose key arrays meet, each once. keys: item column to an array column."""
     keys = keys or text.whole_value()
 
     def block(a: DataFrame, b: DataFrame | None = None) -> DataFrame:
-        left, right, alone = _sides(a, b, F.explode(keys(F.col("item"))).alias("k"))
-        pairs = left.join(right, "k").select("i", "j")
-        return (pairs.filter("i < j") if alone else pairs).distinct()
+        return _met(_keyed(a, "i", keys), _keyed(a if b is None else b, "j", keys), b is None)
+
+    return block
+
+
+def key_blocking_pruned(keys: Callable[[Column], Column], max_degree: int):
+    """prune_frequent(key_blocking(keys)(a, b), max_degree) without the pairs of items that are too frequent by one key alone."""
+
+    def block(a: DataFrame, b: DataFrame) -> DataFrame:
+        left, right = _keyed(a, "i", keys), _keyed(b, "j", keys)
+        often = lambda df: df.groupBy("k").count().filter(F.col("count") > max_degree).select("k")
+        few = lambda df, other, x: df.join(df.join(often(other), "k", "left_semi").select(x).distinct(), x, "left_anti")
+        few_left, few_right = few(left, right, "i"), few(right, left, "j")
+        too = lambda pairs, x: pairs.groupBy(x).count().filter(F.col("count") > max_degree).select(x)
+        few_left = few_left.join(too(_met(few_left, right), "i"), "i", "left_anti")
+        few_right = few_right.join(too(_met(left, few_right), "j"), "j", "left_anti")
+        return _met(few_left, few_right)
 
     return block
 

@@ -202,9 +202,13 @@ _self_pairs("b6_phonetic", "phonetic", None)
 query("b5_whole_value", "SELECT DISTINCT a.doc_id AS i, b.doc_id AS j FROM documents a JOIN documents b ON lower(a.text) = lower(b.text) AND a.doc_id < b.doc_id")(
     lambda s, d: blocking.blockers.resolve("key", keys=lambda x: F.array(F.xxhash64(F.lower(x))))(table(s, d, "documents").filter("text is not null").select(F.col("doc_id").alias("id"), F.col("text").alias("item")))
 )
-query("b2_key_blocking", "SELECT DISTINCT s_suppkey AS i, c_custkey AS j FROM supplier JOIN customer ON s_nationkey = c_nationkey")(
-    lambda s, d: blocking.key_blocking(lambda x: F.array(x))(table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("item")), table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("item")))
-)
+
+
+def suppliers(s, d):
+    return table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("item")), table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("item"))
+
+
+query("b2_key_blocking", "SELECT DISTINCT s_suppkey AS i, c_custkey AS j FROM supplier JOIN customer ON s_nationkey = c_nationkey")(lambda s, d: blocking.key_blocking(F.array)(*suppliers(s, d)))
 query("b7_sorted_neighborhood", "WITH p AS (SELECT s_suppkey AS id, row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS pos FROM supplier) SELECT least(a.id, b.id) AS i, greatest(a.id, b.id) AS j FROM p a JOIN p b ON b.pos - a.pos BETWEEN 1 AND 2")(
     lambda s, d: blocking.sorted_neighborhood(3)(table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("item")))
 )
@@ -220,7 +224,7 @@ query("b10_ann")(lambda s, d: blocking.ann_blocking(5)(vectors(s, d)))
 query("b11_minhash_lsh")(lambda s, d: blocking.minhash_lsh_blocking(0.5, 128)(table(s, d, "documents").filter("text is not null").select(F.col("doc_id").alias("id"), F.col("text").alias("item"))))
 FIRST = f"{N}, c AS (SELECT a.id AS i, b.id AS j FROM n a JOIN n b ON a.id < b.id AND a.item[1:1] = b.item[1:1])"
 query("b13_prune_frequent", "WITH c AS (SELECT DISTINCT s_suppkey AS i, c_custkey AS j FROM supplier JOIN customer ON s_nationkey = c_nationkey) SELECT i, j FROM c WHERE i NOT IN (SELECT i FROM c GROUP BY i HAVING count(*) > 60) AND j NOT IN (SELECT j FROM c GROUP BY j HAVING count(*) > 60)")(
-    lambda s, d: blocking.prune_frequent(QUERIES["b2_key_blocking"](s, d), 60)
+    lambda s, d: blocking.key_blocking_pruned(F.array, 60)(*suppliers(s, d))
 )
 
 

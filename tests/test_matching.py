@@ -306,3 +306,19 @@ def test_vectors_in_blocks(spark, monkeypatch):
         monkeypatch.setattr(blocking, "SPARSE", sparse)
         results.append(found(blocking.ann_blocking(3)(v)))
     assert results[0] == results[1]
+
+
+def test_key_blocking_without_all_pairs(spark):
+    """Pruning before pairing is pruning after; pairs of single keys are not made distinct."""
+    rng = random.Random(7)
+    a, b = (spark.createDataFrame([(i, "".join(rng.choices("abcdefghijkl", k=rng.randrange(0, 4)))) for i in range(60)] + [(3, "a")], "id long, item string") for _ in range(2))
+    keys = lambda x: F.filter(F.split(x, ""), lambda c: c != "")
+    pairs = blocking.key_blocking(keys)(a, b)
+    rows = [[(r.id, set(r.item)) for r in x.collect()] for x in (a, b)]
+    want = sorted({(i, j) for i, x in rows[0] for j, y in rows[1] if x & y})
+    assert found(pairs) == want
+    for most in (3, 9, 14, 20):
+        assert found(blocking.key_blocking_pruned(keys, most)(a, b)) == found(blocking.prune_frequent(pairs, most))
+    assert found(blocking.key_blocking(keys)(a)) == sorted({(i, j) for i, x in rows[0] for j, y in rows[0] if x & y and i < j})
+    plain = blocking.key_blocking(F.array)(a.filter("id <> 3"), b.filter("id <> 3"))
+    assert not any(x.strip(" +-:").startswith("Aggregate [i#") and "j#" in x for x in plain._jdf.queryExecution().optimizedPlan().toString().splitlines())
