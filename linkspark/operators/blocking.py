@@ -26,6 +26,8 @@ blockers = Registry("blocker")
 PRIME = (1 << 31) - 1
 #: A pair that is looked up by a bucket costs about as much as this many pairs in blocks of vectors.
 SPARSE = 64
+#: Rows of words that are handed to Python at a time to be signed.
+SIGNED = 512
 
 
 def _sides(a: DataFrame, b: DataFrame | None, *extra: Column) -> tuple[DataFrame, DataFrame, bool]:
@@ -245,10 +247,11 @@ def minhash_lsh_blocking(threshold: float = 0.5, num_perm: int = 128, seed: int
             kind = df.schema["id"].dataType.simpleString()
             sig = df.select(F.col("id").alias(n), hashed.alias("h")).mapInArrow(lambda it: _signatures(it, coefficients), f"{n} {kind}, sig array<long>")
             each = F.array(*[F.xxhash64(F.lit(k), *[F.col("sig")[x] for x in range(k * rows, (k + 1) * rows)]) for k in range(bands)])
-            return sig.select(n, F.explode(each).alias("band"))
+            return materialize(sig.select(n, each.alias("bands")), "signatures", arrow_rows=SIGNED)
 
-        left, right = banded(a, "i"), banded(a if b is None else b, "j")
-        pairs = left.join(right, "band").select("i", "j")
+        left = banded(a, "i")
+        right = left.withColumnRenamed("i", "j") if b is None else banded(b, "j")
+        pairs = join_blocks(left.select("i", F.explode("bands").alias("band")), right.select("j", F.explode("bands").alias("band")), ["band"]).select("i", "j")
         return (pairs.filter("i < j") if b is None else pairs).distinct()
 
     return block

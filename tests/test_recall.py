@@ -41,3 +41,21 @@ def test_ann_recall_and_candidates(spark):
         want = [(i, int(j)) for i, js in enumerate(np.argsort(-near, 1)[:, :5]) for j in js]
         assert sum(p in met for p in want) >= 0.9 * len(want)
         assert len(met) <= most * len(x) * (len(x) - 1)
+
+
+def test_minhash_hands_few_rows_to_python(spark, monkeypatch):
+    """A task's memory doesn't grow with the rows of its part of the table."""
+    plain = blocking._signatures
+
+    def watched(batches, coefficients):
+        def few():
+            for batch in batches:
+                assert batch.num_rows <= 512
+                yield batch
+
+        return plain(few(), coefficients)
+
+    monkeypatch.setattr(blocking, "_signatures", watched)
+    docs = spark.range(0, 1500, 1, 1).selectExpr("id", "concat('a b c d ', id div 2) as item")
+    got = {(r.i, r.j) for r in blocking.minhash_lsh_blocking(0.5, 128)(docs).filter("i < 20 and j < 20").collect()}
+    assert all((i, i + 1) in got for i in range(0, 20, 2))
